@@ -306,7 +306,7 @@ def answer_events(spark: SparkSession, folder: str) -> DataFrame:
     )
     done = said.filter("conv_id % 2 = 0").select(
         "request_id", (F.size("words") + 1).cast("bigint").alias("seq"), F.lit("done").alias("type"),
-        text.alias("content"), F.upper("answer").alias("full_answer"), no_citations.alias("citations"),
+        text.alias("content"), F.concat(F.lit("Final: "), "answer").alias("full_answer"), no_citations.alias("citations"),
     )
     return opening.unionByName(tokens).unionByName(done)
 
@@ -318,7 +318,7 @@ answer_events AS (
   SELECT request_id, CAST(place AS BIGINT), 'token', words[place] || ' ', NULL
   FROM (SELECT *, unnest(range(1, len(words) + 1)) AS place FROM said)
   UNION ALL
-  SELECT request_id, CAST(len(words) + 1 AS BIGINT), 'done', NULL, upper(answer) FROM said WHERE conv_id % 2 = 0)"""
+  SELECT request_id, CAST(len(words) + 1 AS BIGINT), 'done', NULL, 'Final: ' || answer FROM said WHERE conv_id % 2 = 0)"""
 
 
 # The question log and the ingests between, out of the events.

@@ -44,6 +44,7 @@ def build_session(
                 builder.config("spark.driver.host", "127.0.0.1")
                 .config("spark.driver.bindAddress", "127.0.0.1")
                 .config("spark.ui.enabled", "false")
+                .config("spark.ui.showConsoleProgress", "false")
                 .config("spark.sql.shuffle.partitions", "8")
                 .config("spark.driver.memory", "12g")
             )

@@ -60,8 +60,7 @@ def compare(spark, connection, folder: str, name: str) -> str:
             if pair not in SAME_TYPES:
                 print("   type", name, field.name, *pair)
         return ""
-    missing = [row for row in right if row not in set(left)][:2]
-    extra = [row for row in left if row not in set(right)][:2]
+    missing, extra = list(set(right) - set(left))[:2], list(set(left) - set(right))[:2]
     return f"{len(left)} rows / {len(right)} rows; only mine {str(extra)[:600]}; only sql {str(missing)[:600]}"
 
 
