@@ -87,7 +87,7 @@ class _Best:
 def _schema_of(questions: DataFrame, chunks: DataFrame) -> str:
     question_type = questions.schema["query_id"].dataType.simpleString()
     chunk_type = chunks.schema["chunk_id"].dataType.simpleString()
-    return f"query_id {question_type}, chunk_id {chunk_type}, distance double"
+    return f"query_id {question_type}, top_k int, chunk_id {chunk_type}, distance double"
 
 
 def _arrow_type(name: str) -> pa.DataType:
@@ -98,6 +98,7 @@ def _output(best: _Best, question_ids: list, types: tuple[pa.DataType, pa.DataTy
     question, distance, ids = best.rows
     return {
         "query_id": pa.array([question_ids[q] for q in question], types[0]),
+        "top_k": pa.array(best.limits[question] // fixed.FETCH_FACTOR, pa.int32()),
         "chunk_id": pa.array(ids.tolist(), types[1]),
         "distance": pa.array(distance, pa.float64()),
     }
@@ -110,34 +111,39 @@ def _types(questions: DataFrame, chunks: DataFrame) -> tuple[pa.DataType, pa.Dat
     )
 
 
-def _ranked(candidates: DataFrame, questions: DataFrame) -> DataFrame:
+def _ranked(candidates: DataFrame) -> DataFrame:
     """Final cut over the tasks' candidates; Spark cuts before and after the shuffle."""
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    limit = fixed.FETCH_FACTOR * fixed.TOP_K_MAX
-    ranked = candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     return (
-        ranked.join(questions.select("query_id", "top_k"), "query_id")
+        candidates.withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= fixed.FETCH_FACTOR * fixed.TOP_K_MAX)
         .filter(F.col("rank") <= fixed.FETCH_FACTOR * F.col("top_k"))
-        .select("query_id", "top_k", "chunk_id", "distance", "rank")
     )
 
 
-def nearest_chunks(
+def small_question_set(
     questions: DataFrame,
-    chunks: DataFrame,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
-    max_broadcast_questions: int = MAX_BROADCAST_QUESTIONS,
-) -> DataFrame:
+    max_bytes: int = MAX_BROADCAST_BYTES,
+    max_questions: int = MAX_BROADCAST_QUESTIONS,
+) -> pa.Table | None:
+    """The question rows if they are few enough to broadcast, else None.
+
+    At most one row over the limit is fetched to find out.
+    """
+    head = questions.select("query_id", "embedding", "top_k").limit(max_questions + 1).toArrow()
+    # Vectors are widened to double before they are sent.
+    return head if head.num_rows <= max_questions and 2 * head.nbytes <= max_bytes else None
+
+
+def nearest_chunks(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """The ``2 * top_k`` nearest chunks of every question, ranked.
 
     ``questions``: query_id, embedding, top_k (1 to 10). ``chunks``: chunk_id,
-    embedding. Gives query_id, top_k, chunk_id, distance, rank.
-
-    The size of the question side is looked at first: at most one row over the
-    limit is fetched, and a batch over the limit goes by cells instead.
+    embedding. Gives query_id, top_k, chunk_id, distance, rank. The size of the
+    question side decides between the two exact ways.
     """
-    head = questions.select("query_id", "embedding", "top_k").limit(max_broadcast_questions + 1).toArrow()
-    if head.num_rows <= max_broadcast_questions and head.nbytes * 2 <= max_broadcast_bytes:
+    head = small_question_set(questions)
+    if head is not None:
         return nearest_by_broadcast(questions, chunks, head)
     return nearest_by_cells(questions, chunks)
 
@@ -147,7 +153,7 @@ def nearest_by_broadcast(questions: DataFrame, chunks: DataFrame, head: pa.Table
     types = _types(questions, chunks)
     schema = _schema_of(questions, chunks)
     if head.num_rows == 0:
-        return _ranked(questions.sparkSession.createDataFrame([], schema), questions)
+        return _ranked(questions.sparkSession.createDataFrame([], schema))
     sent = questions.sparkSession.sparkContext.broadcast(
         (
             _unit_rows(head.column("embedding")),
@@ -166,7 +172,7 @@ def nearest_by_broadcast(questions: DataFrame, chunks: DataFrame, head: pa.Table
             yield pa.RecordBatch.from_pydict(_output(best, question_ids, types))
 
     candidates = chunks.select("chunk_id", "embedding").mapInArrow(search, schema)
-    return _ranked(candidates, questions)
+    return _ranked(candidates)
 
 
 def pick_pivots(chunks: DataFrame, cells: int) -> np.ndarray:
@@ -274,7 +280,7 @@ def nearest_by_cells(
     schema = _schema_of(questions, chunks)
     pivots = pick_pivots(chunks, cells)
     if len(pivots) == 0:
-        return _ranked(questions.sparkSession.createDataFrame([], schema), questions)
+        return _ranked(questions.sparkSession.createDataFrame([], schema))
     assigned = assign_cells(chunks, pivots)
     # One row per cell: bounded by the number of pivots.
     stats = assigned.groupBy("cell").agg(
@@ -312,8 +318,8 @@ def nearest_by_cells(
 
     def search(asked: pa.Table, held: pa.Table) -> pa.Table:
         if asked.num_rows == 0 or held.num_rows == 0:
-            return pa.table({"query_id": pa.array([], types[0]), "chunk_id": pa.array([], types[1]),
-                             "distance": pa.array([], pa.float64())})
+            empty = {"query_id": types[0], "top_k": pa.int32(), "chunk_id": types[1], "distance": pa.float64()}
+            return pa.schema(list(empty.items())).empty_table()
         limits = np.array(asked.column("top_k").to_pylist(), dtype=np.int64) * fixed.FETCH_FACTOR
         best = _Best(_unit_rows(asked.column("embedding")), limits)
         best.add(_unit_rows(held.column("embedding")), _ids(held.column("chunk_id")))
@@ -321,7 +327,7 @@ def nearest_by_cells(
 
     group = ["cell", "chunk_block", "question_block"]
     candidates = question_side.groupBy(*group).cogroup(chunk_side.groupBy(*group)).applyInArrow(search, schema)
-    return _ranked(candidates, questions)
+    return _ranked(candidates)
 
 
 def nearest_in_probed_cells(

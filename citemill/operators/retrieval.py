@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citemill.functions import fixed_values as fixed
@@ -53,19 +53,22 @@ def within_distance(
 
 
 def top_k_cut(candidates: DataFrame) -> DataFrame:
-    """Number the surviving candidates 1.. per question and keep the first top_k."""
-    order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("top_k"))
+    """Each question's own first top_k candidates.
+
+    A distance limit keeps the front of a ranking, so ranks need no renumbering.
+    """
+    return candidates.filter(F.col("rank") <= F.col("top_k"))
 
 
-def retrieved_rows(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
+def retrieved_rows(candidates: DataFrame, chunks: DataFrame, bounded: bool = False) -> DataFrame:
     """Candidates with the metadata and text of their chunks.
 
-    Text joins only now, for the few rows that are cited. Spark sends the
-    candidates to the chunk scan while they are small and shuffles otherwise.
+    Text joins only now, for the few rows that are cited. ``bounded`` says the
+    candidates come from a question set that was checked to be small; they then
+    go to the chunk scan, whose texts stay where they are.
     """
     details = chunks.select("chunk_id", "document_name", "page", "section", "text")
-    return details.join(candidates, "chunk_id")
+    return details.join(F.broadcast(candidates) if bounded else candidates, "chunk_id")
 
 
 def cited_rows(retrieved: DataFrame) -> DataFrame:

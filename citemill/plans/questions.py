@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citemill.operators.knn import nearest_chunks
+from citemill.functions import fixed_values as fixed
+from citemill.operators.knn import nearest_by_broadcast, nearest_by_cells, small_question_set
 from citemill.operators.retrieval import (
     cited_rows,
     collect_context,
@@ -19,21 +20,24 @@ from citemill.operators.vectors import Embedder, embed, hashed_word_embedder
 
 
 def cited_chunks(
-    questions: DataFrame, chunks: DataFrame, mode: str = "strict", threshold: float | None = None
+    questions: DataFrame, chunks: DataFrame, mode: str = "strict", threshold: float = fixed.DISTANCE_THRESHOLD
 ) -> DataFrame:
     """Citation and context block per cited chunk.
 
     ``questions``: query_id, embedding, top_k. ``chunks``: chunk_id, embedding,
     document_name, page, section, text.
     """
-    candidates = nearest_chunks(questions, chunks)
-    limits = {} if threshold is None else {"threshold": threshold}
-    kept = top_k_cut(within_distance(candidates, mode, **limits))
-    return cited_rows(retrieved_rows(kept, chunks))
+    head = small_question_set(questions)
+    if head is not None:
+        candidates = nearest_by_broadcast(questions, chunks, head)
+    else:
+        candidates = nearest_by_cells(questions, chunks)
+    kept = top_k_cut(within_distance(candidates, mode, threshold))
+    return cited_rows(retrieved_rows(kept, chunks, bounded=head is not None))
 
 
 def question_contexts(
-    questions: DataFrame, chunks: DataFrame, mode: str = "strict", threshold: float | None = None
+    questions: DataFrame, chunks: DataFrame, mode: str = "strict", threshold: float = fixed.DISTANCE_THRESHOLD
 ) -> DataFrame:
     """Citations, context count and joined context per question that has any."""
     return collect_context(cited_chunks(questions, chunks, mode, threshold))

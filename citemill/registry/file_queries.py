@@ -8,8 +8,10 @@ from citemill.operators.running import running_values
 from citemill.operators.scan_status import dispatch_summary, scan_status
 from citemill.registry import inputs as given
 from citemill.registry.catalog import register
-from citemill.session import prepare_session
+from citemill.session import prepare_session, scratch_path
 from citemill.sources import files as fs
+from citemill.sources.store import ChunkStore
+from citemill.streaming.poll import start_polling
 
 VALID = """valid AS (
   SELECT *, list_extract(string_split(absolute_path, '/'), -1) AS file_name FROM files
@@ -217,3 +219,46 @@ def st2(spark, folder):
         for force_all in (True, False)
     ]
     return counts[0].unionByName(counts[1])
+
+
+@register(
+    "st1_poll_ingest",
+    given.with_ctes(
+        """SELECT document_name, chunk_count, CAST(coalesce(1 - was, 1) AS BIGINT) AS version FROM (
+             SELECT document_name, count(*) AS chunk_count FROM solid_chunks GROUP BY 1) c
+           JOIN (SELECT v.file_name AS document_name,
+                        CASE WHEN m.modified_ms >= v.modified_ms THEN 1 END AS was
+                 FROM valid v LEFT JOIN manifest m USING (absolute_path)) USING (document_name)""",
+        given.FILES, VALID, given.MANIFEST, given.SOLID_PAGES, given.SOLID_CHUNKS,
+    ).replace("'.PDF' ELSE", "'.pdf' ELSE"),
+)
+def st1(spark, folder):
+    """Two polling ticks: the labelled files as the manifest has them, then every file.
+
+    Files the first tick saw with an older time are taken again by the second.
+    """
+    listing = given.files(spark, folder).withColumn(
+        "absolute_path", F.regexp_replace("absolute_path", "PDF$", "pdf")
+    )
+    seen = given.table(spark, folder, "labels")
+    first = listing.join(seen, "doc_id").withColumn(
+        "modified_ms",
+        F.col("modified_ms")
+        + F.when(F.col("toxic") == 1, 60000).when(F.col("quality") == 0, -60000).otherwise(0),
+    )
+    store = ChunkStore(spark, scratch_path(spark, "store"))
+    pages = given.solid_pages(spark, folder)
+
+    def read_pages(chosen):
+        names = chosen.select(fs.base_name(F.col("absolute_path")).alias("document_name"))
+        return pages.join(names, "document_name", "left_semi").select(*pages.columns)
+
+    progress = scratch_path(spark, "progress")
+    for tick in (first, listing):
+        rows = tick.select("absolute_path", "length", "modified_ms")
+        start_polling(
+            store, lambda rows=rows: rows, read_pages, progress, trigger={"availableNow": True}
+        ).awaitTermination()
+    return store.read().groupBy("document_name").agg(
+        F.count("*").alias("chunk_count"), F.max("version").alias("version")
+    )

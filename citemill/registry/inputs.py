@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citemill.session import prepare_session
 from citemill.sources.event_lines import CITATION_TYPE
+from citemill.sources.files import pages_from_arrays
 
 PAGE_CHARS = 1500
 SOLID_PAGE_CHARS = 3000
@@ -77,34 +78,30 @@ PAYLOADS = """payloads AS (
 
 # Pages: blocks of every text with boilerplate and headers put in front, and a
 # last page of boilerplate alone, which cleaning leaves empty.
-def sop_pages(spark: SparkSession, folder: str) -> DataFrame:
-    body = F.col("body")
-    number = F.col("block").cast("string")
-    prefix = (
-        F.when(F.col("block") == 0, "Revision Date Approved by: QA\n")
-        .when(F.col("block") % 3 == 1, F.concat(F.lit("SECTION "), number, F.lit("\n")))
-        .otherwise("laboratory safety MANUAL \n\n")
-    )
-    count = F.ceil(F.length("text") / PAGE_CHARS).cast("int")
-    texts = F.transform(
-        F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1),
-        lambda block: F.substring(F.col("text"), block * PAGE_CHARS + 1, F.lit(PAGE_CHARS)),
-    )
-    blocks = table(spark, folder, "documents").select(
+def sop_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document with its page texts in an array."""
+    count = F.greatest(F.ceil(F.length("text") / PAGE_CHARS).cast("int"), F.lit(1))
+
+    def page_text(block):
+        prefix = (
+            F.when(block == 0, "Revision Date Approved by: QA\n")
+            .when(block % 3 == 1, F.concat(F.lit("SECTION "), block.cast("string"), F.lit("\n")))
+            .otherwise("laboratory safety MANUAL \n\n")
+        )
+        return F.concat(prefix, F.substring(F.col("text"), block * PAGE_CHARS + 1, F.lit(PAGE_CHARS)))
+
+    texts = F.transform(F.sequence(F.lit(0), count - 1), page_text)
+    return table(spark, folder, "documents").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("document_name"),
         F.concat(F.lit("/data/"), "source").alias("file_path"),
-        (F.greatest(count, F.lit(1)) + 1).alias("total_pages"),
-        F.posexplode(F.array_append(texts, F.lit(None).cast("string"))).alias("block", "body"),
-    )
-    return blocks.select(
-        "document_name",
-        "file_path",
-        (F.col("block") + 1).alias("page"),
-        "total_pages",
-        F.when(body.isNull(), "REVISION DATE approved by: QA").otherwise(F.concat(prefix, body)).alias("raw_text"),
+        F.array_append(texts, F.lit("REVISION DATE approved by: QA")).alias("pages"),
     )
 
 
+def sop_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return pages_from_arrays(sop_documents(spark, folder))
+
+
 SOP_PAGES = f"""sop_blocks AS (
   SELECT 'doc_' || doc_id || '.pdf' AS document_name, '/data/' || source AS file_path, text,
          greatest(CAST(ceil(length(text) / {PAGE_CHARS}.0) AS INTEGER), 1) AS n

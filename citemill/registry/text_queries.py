@@ -19,13 +19,7 @@ from citemill.sources.files import pages_from_arrays
     ),
 )
 def s9(spark, folder):
-    """Page rows rebuilt from one array of page texts per document."""
-    arrays = given.sop_pages(spark, folder).groupBy("document_name", "file_path").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("page", "raw_text"))), lambda row: row["raw_text"]
-        ).alias("pages")
-    )
-    return pages_from_arrays(arrays)
+    return pages_from_arrays(given.sop_documents(spark, folder))
 
 
 @register(

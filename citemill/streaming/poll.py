@@ -28,11 +28,14 @@ def start_polling(
     list_files: Callable[[], DataFrame],
     read_pages: Callable[[DataFrame], DataFrame],
     checkpoint: str,
-    interval: str = "60 seconds",
+    trigger: dict | None = None,
     embedder: Embedder = hashed_word_embedder,
     on_scan: Callable[[int, ScanOutcome], None] | None = None,
 ) -> StreamingQuery:
-    """Start the polling query; ``on_scan`` is told each batch's number and outcome."""
+    """Start the polling query; ``on_scan`` is told each batch's number and outcome.
+
+    The default trigger is every 60 seconds; ``{"availableNow": True}`` runs one tick.
+    """
 
     def scan(_: DataFrame, batch: int) -> None:
         outcome = scan_and_ingest(store, list_files(), read_pages, batch=batch, embedder=embedder)
@@ -43,6 +46,6 @@ def start_polling(
         tick_stream(store.spark)
         .writeStream.foreachBatch(scan)
         .option("checkpointLocation", checkpoint)
-        .trigger(processingTime=interval)
+        .trigger(**(trigger or {"processingTime": "60 seconds"}))
         .start()
     )
