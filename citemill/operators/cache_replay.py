@@ -19,7 +19,7 @@ matter, so a busy key is spread over its slots.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citemill.functions import fixed_values as fixed
@@ -71,35 +71,43 @@ def cache_generations(
     )
 
 
-def _entry_times(cacheable: DataFrame, keys: list[str], ttl: int, fold_rows: int) -> DataFrame:
-    """Times (microseconds) at which an entry is written, per key."""
-    times = cacheable.select(*keys, "__us").distinct()
+def _slot(micros: str, ttl: int) -> Column:
+    return F.expr(f"{micros} div {ttl}L")
+
+
+def _entries(times: DataFrame, keys: list[str], ttl: int, fold_rows: int) -> DataFrame:
+    """The entries of every key: keys, __us (when it was written), __writer.
+
+    ``times`` holds each key's distinct cacheable times with their first row.
+    """
     sizes = times.groupBy(*keys).agg(F.count("*").alias("__rows"))
-    busy = sizes.filter(F.col("__rows") > fold_rows)
+    busy = sizes.filter(F.col("__rows") > fold_rows).select(*keys)
     if busy.isEmpty():
         return _fold_small_keys(times, keys, ttl)
     small = times.join(busy, keys, "left_anti")
-    large = times.join(busy.drop("__rows"), keys, "left_semi")
-    return _fold_small_keys(small, keys, ttl).unionByName(_chain_large_keys(large, keys, ttl))
+    large = times.join(busy, keys, "left_semi")
+    chained = large.join(_chain_large_keys(large, keys, ttl), [*keys, "__us"], "left_semi")
+    return _fold_small_keys(small, keys, ttl).unionByName(chained)
 
 
 def _fold_small_keys(times: DataFrame, keys: list[str], ttl: int) -> DataFrame:
     """Fold a key's sorted times (bounded by ``fold_rows``) into its entries."""
-    start = F.array().cast("array<bigint>")
+    start = F.array().cast("array<struct<__us:bigint,__writer:bigint>>")
 
     def step(entries, at):
-        return F.when(
-            (F.size(entries) == 0) | (at - F.element_at(entries, -1) >= ttl), F.array_append(entries, at)
-        ).otherwise(entries)
+        lasting = at["__us"] - F.element_at(entries, -1)["__us"] < ttl
+        return F.when((F.size(entries) > 0) & lasting, entries).otherwise(F.array_append(entries, at))
 
-    folded = times.groupBy(*keys).agg(F.array_sort(F.collect_list("__us")).alias("times"))
-    return folded.select(*keys, F.explode(F.aggregate("times", start, step)).alias("__entry"))
+    folded = times.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("__us", "__writer"))).alias("times")
+    )
+    return folded.select(*keys, F.inline(F.aggregate("times", start, step)))
 
 
 def _chain_large_keys(times: DataFrame, keys: list[str], ttl: int) -> DataFrame:
-    """Entries of keys too large to fold, by doubling steps over slots."""
+    """Entry times of keys too large to fold, by doubling steps over slots."""
     shared_folder(times.sparkSession)
-    slotted = times.withColumn("__slot", F.floor(F.col("__us") / ttl))
+    slotted = times.withColumn("__slot", _slot("__us", ttl))
     starts = slotted.groupBy(*keys).agg(
         F.min("__slot").alias("__origin"), F.max("__slot").alias("__last"), F.min("__us").alias("__first")
     ).checkpoint()
@@ -163,7 +171,7 @@ def _chain_large_keys(times: DataFrame, keys: list[str], ttl: int) -> DataFrame:
         known.filter(F.col("off") != _NO_ENTRY)
         .join(starts, keys)
         .filter(F.col("slot") <= F.col("__last") - F.col("__origin"))
-        .select(*keys, ((F.col("slot") + F.col("__origin")) * ttl + F.col("off")).alias("__entry"))
+        .select(*keys, ((F.col("slot") + F.col("__origin")) * ttl + F.col("off")).alias("__us"))
     )
 
 
@@ -182,31 +190,25 @@ def replay_cache(
     keys = keys or ["cache_key"]
     ttl = ttl_seconds * 1_000_000
     timed = log.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp")))
-    cacheable = timed.filter("cacheable")
-    entries = _entry_times(cacheable, keys, ttl, fold_rows)
-    # An entry is written by the first cacheable row of its time. It serves from
-    # there to one TTL later, which touches two slots.
-    writers = entries.select(
-        *keys,
-        "__entry",
-        F.explode(F.array(F.floor(F.col("__entry") / ttl), F.floor(F.col("__entry") / ttl) + 1)).alias("__slot"),
-    )
-    served = (
-        writers.groupBy(*keys, "__slot")
-        .agg(F.min("__entry").alias("__e1"), F.max("__entry").alias("__e2"))
-    )
-    first_rows = (
-        cacheable.groupBy(*keys, "__us").agg(F.min("event_id").alias("__writer"))
-        .join(entries.withColumnRenamed("__entry", "__us"), [*keys, "__us"], "left_semi")
+    # An entry is written by the first cacheable row of its time.
+    times = timed.filter("cacheable").groupBy(*keys, "__us").agg(F.min("event_id").alias("__writer"))
+    # It serves from there to one TTL later, which touches two slots.
+    serving = (
+        _entries(times, keys, ttl, fold_rows)
+        .select(
+            *keys,
+            F.struct("__us", "__writer").alias("__entry"),
+            F.explode(F.array(_slot("__us", ttl), _slot("__us", ttl) + 1)).alias("__slot"),
+        )
+        .groupBy(*keys, "__slot")
+        .agg(F.min("__entry").alias("__early"), F.max("__entry").alias("__late"))
     )
 
-    def covers(entry: str):
-        return (F.col("__us") > F.col(entry)) & (F.col("__us") < F.col(entry) + ttl)
+    def covers(entry: str) -> Column:
+        begin = F.col(f"{entry}.__us")
+        after = (F.col("__us") > begin) | ((F.col("__us") == begin) & (F.col("event_id") > F.col(f"{entry}.__writer")))
+        return after & (F.col("__us") < begin + ttl)
 
-    labelled = (
-        timed.withColumn("__slot", F.floor(F.col("__us") / ttl))
-        .join(served, [*keys, "__slot"], "left")
-        .join(first_rows, [*keys, "__us"], "left")
-    )
-    hit = covers("__e1") | covers("__e2") | (F.col("event_id") > F.col("__writer"))
-    return labelled.select(*[labelled[name] for name in log.columns], F.coalesce(hit, F.lit(False)).alias("hit"))
+    labelled = timed.withColumn("__slot", _slot("__us", ttl)).join(serving, [*keys, "__slot"], "left")
+    hit = F.coalesce(covers("__early") | covers("__late"), F.lit(False))
+    return labelled.select(*[labelled[name] for name in log.columns], hit.alias("hit"))

@@ -95,8 +95,12 @@ def split_chunks(
 
 def clean_pages(pages: DataFrame, keep_empty: bool = False) -> DataFrame:
     """Cleaned pages; those left empty are dropped unless ``keep_empty``."""
-    cleaned = pages.withColumn("text", clean_page_text(F.coalesce("raw_text", F.lit("")))).drop("raw_text")
-    return cleaned if keep_empty else cleaned.filter(F.length("text") > 0)
+    cleaned = clean_page_text(F.coalesce("raw_text", F.lit("")))
+    kept = [name for name in pages.columns if name != "raw_text"]
+    if keep_empty:
+        return pages.select(*kept, cleaned.alias("text"))
+    # As a filter the clean-up would run twice per page, in the filter and after it.
+    return pages.select(*kept, F.explode(F.filter(F.array(cleaned), lambda text: text != "")).alias("text"))
 
 
 def carry_section(
@@ -104,7 +108,10 @@ def carry_section(
 ) -> DataFrame:
     """Give every cleaned page its own header or the last one before it."""
     own = pages.withColumn("__header", found_header(F.col("text")))
-    carried = running_values(own, ["document_name"], "page", last={"section": "__header"}, block_rows=block_rows)
+    carried = running_values(
+        own, ["document_name"], "page", last={"section": "__header"},
+        block_rows=block_rows, spans_blocks=F.col("total_pages") >= block_rows,
+    )
     return carried.withColumn("section", F.coalesce("section", F.lit(initial))).drop("__header")
 
 
@@ -133,6 +140,7 @@ def number_chunks(
         last={"section": "__header"},
         totals={"__first": "__n"},
         block_rows=block_rows,
+        spans_blocks=F.col("total_pages") >= block_rows,
     )
     exploded = running.select(
         "document_name",

@@ -23,12 +23,17 @@ def running_values(
     last: dict[str, str] | None = None,
     totals: dict[str, str] | None = None,
     block_rows: int = BLOCK_ROWS,
+    spans_blocks: Column | None = None,
 ) -> DataFrame:
     """Add running columns to ``rows``.
 
     ``last`` maps an output name to a column: its last non-null value up to and
     including the row. ``totals`` maps an output name to a column: its sum over
     earlier rows (0 for the first). ``order`` is an integer, unique within a key.
+
+    ``spans_blocks`` may say which rows belong to a key that is longer than one
+    block. Only those are then read for the carried values; all other keys are
+    done by the window alone.
     """
     last, totals = last or {}, totals or {}
     blocked = rows.withColumn(_BLOCK, F.floor(F.col(order) / block_rows))
@@ -39,7 +44,8 @@ def running_values(
     ]
     sums = [F.sum(column).alias(f"__sum_{out}") for out, column in totals.items()]
     before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocked.groupBy(*keys, _BLOCK).agg(*found, *sums).select(
+    spanning = blocked if spans_blocks is None else blocked.filter(spans_blocks)
+    carried = spanning.groupBy(*keys, _BLOCK).agg(*found, *sums).select(
         *keys,
         _BLOCK,
         *[F.last(f"__last_{out}", ignorenulls=True).over(before).alias(f"__last_{out}") for out in last],
@@ -57,7 +63,7 @@ def running_values(
         zero = F.lit(0).cast("bigint")
         return F.coalesce(F.sum(column).over(earlier), zero) + F.coalesce(F.col(f"__sum_{out}"), zero)
 
-    joined = blocked.join(carried, [*keys, _BLOCK])
+    joined = blocked.join(carried, [*keys, _BLOCK], "left")
     return joined.select(
         *[joined[name] for name in rows.columns],
         *[running_last(out, column).alias(out) for out, column in last.items()],

@@ -38,7 +38,7 @@ def t1(spark, folder):
 )
 def t1_solid(spark, folder):
     """Whole texts without whitespace, whose chunks have a closed form."""
-    return given.table(spark, folder, "documents").select(
+    return given.spread_documents(spark, folder).select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("document_name"),
         F.posexplode(split_chunks(F.regexp_replace("text", r"\s", ""))).alias("index_in_page", "text"),
     )
@@ -208,7 +208,7 @@ def a3(spark, folder):
 @register("t2_embed")
 def t2(spark, folder):
     """Hashed word vectors of whole texts: non-zero entries and length of each vector."""
-    vectors = embed(given.table(spark, folder, "documents").select("doc_id", "text"))
+    vectors = embed(given.spread_documents(spark, folder).select("doc_id", "text"))
     return vectors.select(
         "doc_id",
         F.size("embedding").alias("size"),

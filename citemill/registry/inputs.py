@@ -23,6 +23,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare_session(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, over all cores even where the file is one small row group.
+
+    A table read as at least as many partitions as there are cores is left alone,
+    so a large one is never shuffled for this.
+    """
+    documents = table(spark, folder, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return documents.repartition(cores) if documents.rdd.getNumPartitions() < cores else documents
+
+
 def with_ctes(query: str, *ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + query
 
@@ -91,7 +102,7 @@ def sop_documents(spark: SparkSession, folder: str) -> DataFrame:
         return F.concat(prefix, F.substring(F.col("text"), block * PAGE_CHARS + 1, F.lit(PAGE_CHARS)))
 
     texts = F.transform(F.sequence(F.lit(0), count - 1), page_text)
-    return table(spark, folder, "documents").select(
+    return spread_documents(spark, folder).select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("document_name"),
         F.concat(F.lit("/data/"), "source").alias("file_path"),
         F.array_append(texts, F.lit("REVISION DATE approved by: QA")).alias("pages"),
@@ -141,7 +152,7 @@ def solid_pages(spark: SparkSession, folder: str) -> DataFrame:
         lambda block: F.substring(F.col("solid"), block * SOLID_PAGE_CHARS + 1, F.lit(SOLID_PAGE_CHARS)),
     )
     return (
-        table(spark, folder, "documents")
+        spread_documents(spark, folder)
         .select("doc_id", "source", solid.alias("solid"))
         .select(
             F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("document_name"),
@@ -205,7 +216,7 @@ QUESTIONS = """questions AS (
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
-    documents = table(spark, folder, "documents")
+    documents = spread_documents(spark, folder)
     return vectors.join(documents, vectors["vec_id"] == documents["doc_id"]).select(
         F.col("vec_id").alias("chunk_id"),
         "embedding",

@@ -96,7 +96,7 @@ def w1(spark, folder):
                                  ' ' || chr(9) || chr(13)) AS t FROM documents)""",
 )
 def p4(spark, folder):
-    return given.table(spark, folder, "documents").select(
+    return given.spread_documents(spark, folder).select(
         "doc_id", tx.embedding_text(F.col("text")).alias("embedding_text")
     )
 
@@ -106,7 +106,7 @@ def p4(spark, folder):
     "SELECT doc_id, substr(sha256(text), 1, 12) AS chunk_hash FROM documents",
 )
 def p5(spark, folder):
-    return given.table(spark, folder, "documents").select("doc_id", tx.chunk_hash(F.col("text")).alias("chunk_hash"))
+    return given.spread_documents(spark, folder).select("doc_id", tx.chunk_hash(F.col("text")).alias("chunk_hash"))
 
 
 @register(
@@ -115,7 +115,7 @@ def p5(spark, folder):
         FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents)""",
 )
 def p9(spark, folder):
-    return given.table(spark, folder, "documents").select("doc_id", tx.snippet(F.col("text")).alias("snippet"))
+    return given.spread_documents(spark, folder).select("doc_id", tx.snippet(F.col("text")).alias("snippet"))
 
 
 @register(
@@ -127,5 +127,5 @@ def d2(spark, folder):
     from citemill.operators.catalog import duplicate_chunks
 
     return duplicate_chunks(
-        given.table(spark, folder, "documents").select(tx.chunk_hash(F.col("text")).alias("chunk_hash"))
+        given.spread_documents(spark, folder).select(tx.chunk_hash(F.col("text")).alias("chunk_hash"))
     )
