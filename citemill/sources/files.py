@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from citemill.functions import fixed_values as fixed
 from citemill.functions.text import base_name
-from citemill.sources.paths import is_folder
+from citemill.sources.paths import is_folder, qualified
 
 LISTING_SCHEMA = "absolute_path string, length bigint, modified_ms bigint"
 MANIFEST_SCHEMA = "absolute_path string, modified_ms bigint"
@@ -26,14 +26,28 @@ def list_folder(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Dat
     """
     if not is_folder(spark, folder):
         return spark.createDataFrame([], LISTING_SCHEMA)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return found.select(
-        F.regexp_replace("path", "^file:/+", "/").alias("absolute_path"),
-        "length",
-        F.unix_millis("modificationTime").alias("modified_ms"),
+    return (
+        _binary_files(spark, folder, pattern)
+        .filter(F.regexp_replace("path", "/[^/]*$", "") == qualified(spark, folder))
+        .select(
+            _local_form(F.col("path")).alias("absolute_path"),
+            "length",
+            F.unix_millis("modificationTime").alias("modified_ms"),
+        )
     )
 
 
+def _binary_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    # Recursive lookup keeps Spark from reading subfolders named a=b as partitions.
+    options = {"pathGlobFilter": pattern, "recursiveFileLookup": "true"}
+    return spark.read.format("binaryFile").options(**options).load(folder)
+
+
+def _local_form(path: Column) -> Column:
+    """Local files go by their plain path, others by their full address."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def is_valid_pdf(path: Column, length: Column, suffix: str = fixed.PDF_SUFFIX) -> Column:
     """A visible, non-empty file whose name ends in ``.pdf`` in any case."""
     name = base_name(path)
@@ -140,9 +154,8 @@ def extract_pages(
     The extractor turns one file's bytes into its page texts. Files stay on the
     executors; only those named in ``payloads`` are handed to Python.
     """
-    contents = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    wanted = contents.select(
-        F.regexp_replace("path", "^file:/+", "/").alias("absolute_path"), "content"
+    wanted = _binary_files(spark, folder, pattern).select(
+        _local_form(F.col("path")).alias("absolute_path"), "content"
     ).join(payloads.select("absolute_path", "file_name"), "absolute_path")
 
     def read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,6 +18,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(target)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as Spark's file listings spell it."""
+    system, target = _file_system(spark, path)
+    return system.makeQualified(target).toString()
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     system, target = _file_system(spark, path)
     return system.exists(target) and system.getFileStatus(target).isDirectory()

@@ -61,7 +61,9 @@ class ChunkStore:
         so Spark picks the join by its measured size."""
         if not exists(self.spark, f"{self.root}/chunks"):
             raise FileNotFoundError(f"nothing was published below {self.root}")
-        stored = self.spark.read.parquet(f"{self.root}/chunks")
+        version = self.last_version() if version is None else version
+        # Folders past the version read, such as one being written, are not scanned.
+        stored = self.spark.read.parquet(f"{self.root}/chunks").filter(F.col("version") <= version)
         return stored.withColumn("version", F.col("version").cast("bigint")).join(
             self.live(version), ["document_name", "version"]
         )
