@@ -149,10 +149,13 @@ def number_chunks(
         "total_pages",
         F.coalesce("section", F.lit(initial)).alias("section"),
         "__first",
-        F.posexplode("__chunks").alias("index_in_page", "text"),
+        F.posexplode_outer("__chunks").alias("index_in_page", "text"),
     )
+    # An inner explode would make Spark filter on the array's size first, and for
+    # that run the splitter a second time.
     return (
-        exploded.withColumn("chunk_index", F.col("__first") + F.col("index_in_page"))
+        exploded.filter("text is not null")
+        .withColumn("chunk_index", F.col("__first") + F.col("index_in_page"))
         .withColumn("chunk_hash", chunk_hash(F.col("text")))
         .withColumn(
             "chunk_id",

@@ -31,6 +31,7 @@ DECIMALS = 9
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_QUESTIONS = 8192
 ROWS_PER_PRODUCT = 4096
+TASKS_PER_CORE = 4
 SLACK = 1e-6
 
 
@@ -171,7 +172,10 @@ def nearest_by_broadcast(questions: DataFrame, chunks: DataFrame, head: pa.Table
         if best.rows is not None:
             yield pa.RecordBatch.from_pydict(_output(best, question_ids, types))
 
-    candidates = chunks.select("chunk_id", "embedding").mapInArrow(search, schema)
+    # Every task may emit a full set of candidates, so their number grows with the
+    # tasks, not the rows. A few long tasks per core keep that shuffle small.
+    tasks = TASKS_PER_CORE * questions.sparkSession.sparkContext.defaultParallelism
+    candidates = chunks.select("chunk_id", "embedding").coalesce(tasks).mapInArrow(search, schema)
     return _ranked(candidates)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from citemill.operators import retrieval as rt
 from citemill.operators.answer_log import live_answers, prune_answers
 from citemill.operators.cache_replay import cache_generations, replay_cache
+from citemill.plans.questions import distinct_questions
 from citemill.registry import inputs as given
 from citemill.registry.catalog import register
 from citemill.session import scratch_path
@@ -38,6 +39,22 @@ def p8(spark, folder):
     return _keyed(spark, folder).select("event_id", "cache_key")
 
 
+@register(
+    "p8_distinct_questions",
+    given.with_ctes(
+        """SELECT cache_key AS query_id, upper(any_value(query)) AS query, top_k, count(*) > 0 AS embedded
+           FROM keyed_log GROUP BY cache_key, top_k""",
+        *LOG,
+    ),
+)
+def p8_distinct(spark, folder):
+    """Equal questions of the log, once each and with a vector."""
+    log = given.question_log(spark, folder).withColumnRenamed("event_id", "query_id")
+    return distinct_questions(log).select(
+        "query_id", "query", "top_k", (F.size("embedding") > 0).alias("embedded")
+    )
+
+
 ANSWER_TABLE = """stored AS (
   SELECT cache_key, max(ts) AS answer_ts, max(event_id) AS answer_id
   FROM (SELECT sha256(user_id || '_' || event_type) AS cache_key, ts, event_id FROM events) GROUP BY cache_key)"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from citemill.functions import fixed_values as fixed
 from citemill.functions.answers import public_citations
 from citemill.operators import retrieval as rt
 from citemill.operators.knn import nearest_by_cells, nearest_chunks, nearest_in_probed_cells, recall
@@ -14,6 +15,7 @@ from citemill.registry.catalog import register
 
 SEARCH = (given.QUESTIONS, given.CHUNKS, given.PAIRS)
 WIDE = (*SEARCH, given.cited_cte(given.WIDE_THRESHOLD))
+SYSTEM = fixed.SYSTEM_INSTRUCTION.replace("'", "''")
 STRICT = (*SEARCH, given.cited_cte(0.55))
 
 
@@ -187,7 +189,8 @@ def j6(spark, folder):
 @register(
     "p13_prompt_payload",
     given.with_ctes(
-        r"""SELECT query_id, context_count, 'REFERENCE CONTEXT:' || chr(10) || context || chr(10) || 'USER QUESTION:' || chr(10)
+        f"SELECT query_id, context_count, '{SYSTEM}' AS system_prompt, "
+        r"""'REFERENCE CONTEXT:' || chr(10) || context || chr(10) || 'USER QUESTION:' || chr(10)
               || query || chr(10) || chr(10)
               || 'Provide a structured, beautifully formatted answer with code blocks and inline [1], [2] citations:' AS user_prompt
            FROM contexts JOIN questions USING (query_id)""",
@@ -195,7 +198,7 @@ def j6(spark, folder):
     ),
 )
 def p13(spark, folder):
-    return rt.prompts(given.questions(spark, folder), _contexts(spark, folder)).drop("system_prompt")
+    return rt.prompts(given.questions(spark, folder), _contexts(spark, folder))
 
 
 @register(

@@ -131,8 +131,8 @@ def pages_from_arrays(documents: DataFrame, pages: str = "pages") -> DataFrame:
         "document_name",
         "file_path",
         F.size(pages).alias("total_pages"),
-        F.posexplode(pages).alias("position", "text"),
-    ).select(
+        F.posexplode_outer(pages).alias("position", "text"),
+    ).filter("position is not null").select(
         "document_name",
         "file_path",
         (F.col("position") + 1).alias("page"),
@@ -147,12 +147,12 @@ def extract_pages(
     folder: str,
     extractor: Callable[[bytes], Iterable[str | None]],
     pattern: str = "*.pdf",
-    files_per_batch: int = 8,
 ) -> DataFrame:
     """Page rows from file contents through a caller's page extractor.
 
     The extractor turns one file's bytes into its page texts. Files stay on the
-    executors; only those named in ``payloads`` are handed to Python.
+    executors; only those named in ``payloads`` are handed to Python, in batches
+    that Spark bounds by bytes.
     """
     wanted = _binary_files(spark, folder, pattern).select(
         _local_form(F.col("path")).alias("absolute_path"), "content"
@@ -160,17 +160,16 @@ def extract_pages(
 
     def read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), files_per_batch):
-                for row in batch.iloc[start:start + files_per_batch].itertuples(index=False):
-                    texts = [text or "" for text in extractor(bytes(row.content))]
-                    yield pd.DataFrame(
-                        {
-                            "document_name": row.file_name,
-                            "file_path": row.absolute_path,
-                            "page": range(1, len(texts) + 1),
-                            "total_pages": len(texts),
-                            "raw_text": texts,
-                        }
-                    )
+            for row in batch.itertuples(index=False):
+                texts = [text or "" for text in extractor(bytes(row.content))]
+                yield pd.DataFrame(
+                    {
+                        "document_name": row.file_name,
+                        "file_path": row.absolute_path,
+                        "page": range(1, len(texts) + 1),
+                        "total_pages": len(texts),
+                        "raw_text": texts,
+                    }
+                )
 
     return wanted.select("file_name", "absolute_path", "content").mapInPandas(read_pages, PAGE_SCHEMA)
