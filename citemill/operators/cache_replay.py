@@ -7,7 +7,8 @@ cacheable row at least one TTL after it, and so on.
 
 The chain is sequential, but no key is walked in one task unless it is small:
 
-* Keys with up to ``fold_rows`` distinct times are folded in one expression.
+* Keys with up to ``walk_rows`` distinct times are read in order by one task each,
+  which keeps just the last entry in memory.
 * Larger keys are cut into slots as long as the TTL. A slot holds at most one
   entry, and an entry decides, from its offset alone, the entry of the next slot.
   These steps are put together pairwise (1, 2, 4, ... slots ahead), and the chain
@@ -19,13 +20,18 @@ matter, so a busy key is spread over its slots.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citemill.functions import fixed_values as fixed
 from citemill.session import shared_folder
 
-FOLD_ROWS = 10_000
+WALK_ROWS = 1_000_000
 GENERATION_SALTS = 16
 _NO_ENTRY = -1
 
@@ -75,33 +81,76 @@ def _slot(micros: str, ttl: int) -> Column:
     return F.expr(f"{micros} div {ttl}L")
 
 
-def _entries(times: DataFrame, keys: list[str], ttl: int, fold_rows: int) -> DataFrame:
+def _entries(times: DataFrame, keys: list[str], ttl: int, walk_rows: int) -> DataFrame:
     """The entries of every key: keys, __us (when it was written), __writer.
 
     ``times`` holds each key's distinct cacheable times with their first row.
     """
     sizes = times.groupBy(*keys).agg(F.count("*").alias("__rows"))
-    busy = sizes.filter(F.col("__rows") > fold_rows).select(*keys)
+    busy = sizes.filter(F.col("__rows") > walk_rows).select(*keys)
     if busy.isEmpty():
-        return _fold_small_keys(times, keys, ttl)
+        return _walk_small_keys(times, keys, ttl)
     small = times.join(busy, keys, "left_anti")
     large = times.join(busy, keys, "left_semi")
     chained = large.join(_chain_large_keys(large, keys, ttl), [*keys, "__us"], "left_semi")
-    return _fold_small_keys(small, keys, ttl).unionByName(chained)
+    return _walk_small_keys(small, keys, ttl).unionByName(chained)
 
 
-def _fold_small_keys(times: DataFrame, keys: list[str], ttl: int) -> DataFrame:
-    """Fold a key's sorted times (bounded by ``fold_rows``) into its entries."""
-    start = F.array().cast("array<struct<__us:bigint,__writer:bigint>>")
+def _walk_small_keys(times: DataFrame, keys: list[str], ttl: int) -> DataFrame:
+    """Entries of keys of at most ``walk_rows`` times, read in order.
 
-    def step(entries, at):
-        lasting = at["__us"] - F.element_at(entries, -1)["__us"] < ttl
-        return F.when((F.size(entries) > 0) & lasting, entries).otherwise(F.array_append(entries, at))
+    Only the last entry is remembered from one Arrow batch to the next.
+    """
 
-    folded = times.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("__us", "__writer"))).alias("times")
-    )
-    return folded.select(*keys, F.inline(F.aggregate("times", start, step)))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, written = None, 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            micros = batch.column("__us").to_numpy()
+            starts_key = _differs_from_previous(batch, keys)
+            starts_key[0] = tuple(batch.column(key)[0].as_py() for key in keys) != last_key
+            # A row a full TTL after the one before it is an entry in any case.
+            head = starts_key | (np.diff(micros, prepend=micros[0]) >= ttl)
+            begins = np.flatnonzero(head)
+            ends = np.append(begins[1:], len(micros))
+            taken = [begins]
+            if not head[0]:
+                stop = begins[0] if len(begins) else len(micros)
+                taken.append(_later_entries(micros, 0, stop, written, ttl))
+            for run in np.flatnonzero(micros[ends - 1] - micros[begins] >= ttl):
+                taken.append(_later_entries(micros, begins[run], ends[run], micros[begins[run]], ttl))
+            rows = np.sort(np.concatenate(taken)).astype(np.int64)
+            if len(rows):
+                written = int(micros[rows[-1]])
+                yield batch.take(pa.array(rows))
+            last_key = tuple(batch.column(key)[-1].as_py() for key in keys)
+
+    rows = times.select(*keys, "__us", "__writer")
+    schema = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in rows.schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "__us").mapInArrow(walk, schema)
+
+
+def _differs_from_previous(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where any key column changes; the first row counts as a change."""
+    changed = np.zeros(batch.num_rows, dtype=bool)
+    changed[0] = True
+    for key in keys:
+        column = batch.column(key)
+        same = pc.equal(column.slice(1), column.slice(0, batch.num_rows - 1)).fill_null(False)
+        changed[1:] |= ~same.to_numpy(zero_copy_only=False)
+    return changed
+
+
+def _later_entries(micros: np.ndarray, begin: int, end: int, written: int, ttl: int) -> np.ndarray:
+    """Positions of the entries after the one written at ``written``."""
+    found = []
+    while True:
+        begin += int(np.searchsorted(micros[begin:end], written + ttl))
+        if begin >= end:
+            return np.array(found, dtype=np.int64)
+        found.append(begin)
+        written = int(micros[begin])
 
 
 def _chain_large_keys(times: DataFrame, keys: list[str], ttl: int) -> DataFrame:
@@ -179,7 +228,7 @@ def replay_cache(
     log: DataFrame,
     keys: list[str] | None = None,
     ttl_seconds: int = fixed.CACHE_TTL_SECONDS,
-    fold_rows: int = FOLD_ROWS,
+    walk_rows: int = WALK_ROWS,
 ) -> DataFrame:
     """Add ``hit`` to every row of a question log.
 
@@ -194,7 +243,7 @@ def replay_cache(
     times = timed.filter("cacheable").groupBy(*keys, "__us").agg(F.min("event_id").alias("__writer"))
     # It serves from there to one TTL later, which touches two slots.
     serving = (
-        _entries(times, keys, ttl, fold_rows)
+        _entries(times, keys, ttl, walk_rows)
         .select(
             *keys,
             F.struct("__us", "__writer").alias("__entry"),

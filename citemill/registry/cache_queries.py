@@ -157,7 +157,7 @@ def st3(spark, folder):
 )
 def st3_busy(spark, folder):
     """Every key with more than 150 times goes the way meant for busy keys."""
-    return replay_cache(_keyed(spark, folder), fold_rows=150).select("event_id", "hit")
+    return replay_cache(_keyed(spark, folder), walk_rows=150).select("event_id", "hit")
 
 
 @register(

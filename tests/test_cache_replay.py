@@ -44,19 +44,30 @@ def random_log(seed, n, keys, span_hours, step_seconds):
     ]
 
 
-@pytest.mark.parametrize("fold_rows", [10_000, 5, 0])
+@pytest.mark.parametrize("walk_rows", [10_000, 5, 0])
 @pytest.mark.parametrize("seed, step", [(1, 1), (2, 900)])
-def test_replay_equals_row_by_row(spark, fold_rows, seed, step):
+def test_replay_equals_row_by_row(spark, walk_rows, seed, step):
     log = random_log(seed, 700, 8, 60, step)
-    found = replay_cache(frame(spark, log), fold_rows=fold_rows).collect()
+    found = replay_cache(frame(spark, log), walk_rows=walk_rows).collect()
     assert {row.event_id: row.hit for row in found} == replay(log)[0]
 
 
-@pytest.mark.parametrize("fold_rows", [10_000, 0])
-def test_gap_of_exactly_one_ttl_is_a_miss_and_hits_do_not_extend(spark, fold_rows):
+@pytest.mark.parametrize("batch_rows", [1, 7, 40])
+def test_walk_goes_on_across_arrow_batches(spark, batch_rows):
+    log = random_log(3, 500, 6, 50, 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    try:
+        found = replay_cache(frame(spark, log)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {row.event_id: row.hit for row in found} == replay(log)[0]
+
+
+@pytest.mark.parametrize("walk_rows", [10_000, 0])
+def test_gap_of_exactly_one_ttl_is_a_miss_and_hits_do_not_extend(spark, walk_rows):
     seconds = [0, 1800, 3599, 3600, 3601, 7199, 7200, 20000]
     log = [(i, START + timedelta(seconds=s), "k", True) for i, s in enumerate(seconds)]
-    found = replay_cache(frame(spark, log), fold_rows=fold_rows).collect()
+    found = replay_cache(frame(spark, log), walk_rows=walk_rows).collect()
     assert [r.hit for r in sorted(found)] == [False, True, True, False, True, True, False, False]
 
 
@@ -66,13 +77,13 @@ def test_uncacheable_miss_leaves_no_entry(spark):
     assert found == {1: False, 2: False, 3: True, 4: True}
 
 
-@pytest.mark.parametrize("fold_rows", [10_000, 3])
-def test_ingest_empties_the_cache(spark, fold_rows):
+@pytest.mark.parametrize("walk_rows", [10_000, 3])
+def test_ingest_empties_the_cache(spark, walk_rows):
     log = random_log(5, 600, 4, 30, 60)
     ingests = [START + timedelta(hours=h, minutes=m) for h, m in [(1, 0), (1, 0), (4, 30), (4, 31), (20, 0)]]
     ingested = spark.createDataFrame([(t,) for t in ingests], "ts timestamp_ntz")
     tagged = cache_generations(frame(spark, log), ingested, salts=3)
-    found = replay_cache(tagged, ["cache_key", "generation"], fold_rows=fold_rows).collect()
+    found = replay_cache(tagged, ["cache_key", "generation"], walk_rows=walk_rows).collect()
     hits, seen = replay(log, ingests)
     assert {r.event_id: r.generation for r in found} == seen
     assert {r.event_id: r.hit for r in found} == hits
