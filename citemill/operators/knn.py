@@ -45,6 +45,10 @@ def _unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return matrix / norms
 
 
+def _embedded(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.filter("embedding is not null").select(*columns, "embedding")
+
+
 def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     values = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
     return values.astype("U") if values.dtype == object else values
@@ -131,7 +135,7 @@ def small_question_set(
 
     At most one row over the limit is fetched to find out.
     """
-    head = questions.select("query_id", "embedding", "top_k").limit(max_questions + 1).toArrow()
+    head = _embedded(questions, "query_id", "top_k").limit(max_questions + 1).toArrow()
     # Vectors are widened to double before they are sent.
     return head if head.num_rows <= max_questions and 2 * head.nbytes <= max_bytes else None
 
@@ -175,14 +179,14 @@ def nearest_by_broadcast(questions: DataFrame, chunks: DataFrame, head: pa.Table
     # Every task may emit a full set of candidates, so their number grows with the
     # tasks, not the rows. A few long tasks per core keep that shuffle small.
     tasks = TASKS_PER_CORE * questions.sparkSession.sparkContext.defaultParallelism
-    candidates = chunks.select("chunk_id", "embedding").coalesce(tasks).mapInArrow(search, schema)
+    candidates = _embedded(chunks, "chunk_id").coalesce(tasks).mapInArrow(search, schema)
     return _ranked(candidates)
 
 
 def pick_pivots(chunks: DataFrame, cells: int) -> np.ndarray:
     """Vectors of ``cells`` chunks, chosen by hashed id: a bounded, repeatable pick."""
     picked = (
-        chunks.select("chunk_id", "embedding")
+        _embedded(chunks, "chunk_id")
         .orderBy(F.xxhash64(F.col("chunk_id")), "chunk_id")
         .limit(cells)
         .select("embedding")
@@ -215,7 +219,7 @@ def assign_cells(chunks: DataFrame, pivots: np.ndarray) -> DataFrame:
                 names=["chunk_id", "embedding", "cell", "radius"],
             )
 
-    rows = chunks.select("chunk_id", "embedding")
+    rows = _embedded(chunks, "chunk_id")
     types = [f"{field.name} {field.dataType.simpleString()}" for field in rows.schema]
     return rows.mapInArrow(assign, ", ".join([*types, "cell int", "radius double"]))
 
@@ -244,7 +248,7 @@ def _visits(
                 names=[*batch.schema.names, "cells"],
             )
 
-    rows = questions.select("query_id", "embedding", "top_k")
+    rows = _embedded(questions, "query_id", "top_k")
     types = [f"{field.name} {field.dataType.simpleString()}" for field in rows.schema]
     return rows.mapInArrow(visit, ", ".join([*types, "cells array<int>"]))
 

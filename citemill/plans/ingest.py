@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citemill.functions import fixed_values as fixed
+from citemill.functions.text import base_name
 from citemill.operators.catalog import ingest_receipts
 from citemill.operators.chunking import clean_pages, number_chunks, split_pages
 from citemill.operators.vectors import Embedder, embed, hashed_word_embedder
@@ -19,34 +20,41 @@ from citemill.sources.store import ChunkStore
 
 @dataclass
 class ScanOutcome:
-    """What a scan did. ``receipts`` is a DataFrame over the written chunks."""
+    """What a scan did: receipts of the documents taken in, and the files that failed."""
 
     dispatched: int
     synchronized: int
     status: str
     receipts: DataFrame | None = None
+    failures: DataFrame | None = None
 
 
 def ingest_pages(
     store: ChunkStore,
     pages: DataFrame,
-    processed: DataFrame,
     version: int | None = None,
     embedder: Embedder = hashed_word_embedder,
-) -> DataFrame:
-    """Split, number, embed and publish the pages; returns the receipts.
+) -> tuple[DataFrame, DataFrame]:
+    """Split, number, embed and publish the pages; returns receipts and failures.
+
+    Every document with a row in ``pages`` is replaced, also one without chunks.
+    A row with an ``error`` stands for a file that could not be read: its
+    document stays as it was.
 
     Split pages are staged in the shared folder first, so pages are read and
     split once. The carried sections, chunk numbers and receipts then need only
     the staged table's slim columns.
     """
-    spark = store.spark
-    staged_path = scratch_path(spark, "split-pages")
+    if "error" not in pages.columns:
+        pages = pages.withColumn("error", F.lit(None).cast("string"))
+    staged_path = scratch_path(store.spark, "split-pages")
     split_pages(clean_pages(pages, keep_empty=True)).write.parquet(staged_path)
-    staged = spark.read.parquet(staged_path)
-    chunks = number_chunks(staged)
-    version = store.publish(embed(chunks, embedder=embedder), processed, version)
-    return ingest_receipts(staged, store.read(version))
+    staged = store.spark.read.parquet(staged_path)
+    good = staged.filter("error is null")
+    chunks = number_chunks(good.filter("page is not null"))
+    version = store.publish(embed(chunks, embedder=embedder), good, version)
+    failures = staged.filter("error is not null").select("document_name", "file_path", "error")
+    return ingest_receipts(good, store.read(version)), failures
 
 
 def scan_and_ingest(
@@ -77,9 +85,12 @@ def scan_and_ingest(
     dispatched = chosen.count()
     if dispatched == 0:
         return ScanOutcome(0, 0, fixed.STATUS_MANUAL_DONE % (0, 0) if manual else fixed.STATUS_UP_TO_DATE)
-    pages = read_pages(chosen)
-    processed = chosen.select(F.element_at(F.split("absolute_path", "/"), -1).alias("document_name"))
-    receipts = ingest_pages(store, pages, processed, embedder=embedder)
-    store.write_manifest(updated_manifest(store.manifest(), chosen), version)
+    receipts, failures = ingest_pages(store, read_pages(chosen), embedder=embedder)
+    # Files that failed, or went missing meanwhile, are left for the next scan.
+    taken = chosen.withColumn("document_name", base_name(F.col("absolute_path"))).join(
+        receipts.select("document_name"), "document_name", "left_semi"
+    )
+    store.write_manifest(updated_manifest(store.manifest(), taken), version)
+    synchronized = taken.count()
     message = fixed.STATUS_MANUAL_DONE if manual else fixed.STATUS_DONE
-    return ScanOutcome(dispatched, dispatched, message % (dispatched, dispatched), receipts)
+    return ScanOutcome(dispatched, synchronized, message % (synchronized, dispatched), receipts, failures)

@@ -15,7 +15,9 @@ from citemill.sources.paths import is_folder, qualified
 LISTING_SCHEMA = "absolute_path string, length bigint, modified_ms bigint"
 MANIFEST_SCHEMA = "absolute_path string, modified_ms bigint"
 PAYLOAD_SCHEMA = "fileName string, absolutePath string, fileSizeKb bigint, lastModified timestamp_ntz"
-PAGE_SCHEMA = "document_name string, file_path string, page int, total_pages int, raw_text string"
+PAGE_SCHEMA = (
+    "document_name string, file_path string, page int, total_pages int, raw_text string, error string"
+)
 
 
 def list_folder(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
@@ -150,7 +152,8 @@ def extract_pages(
 ) -> DataFrame:
     """Page rows from file contents through a caller's page extractor.
 
-    The extractor turns one file's bytes into its page texts. Files stay on the
+    The extractor turns one file's bytes into its page texts. A file without pages
+    gives one row without a page, one it fails on such a row with an ``error``. Files stay on the
     executors; only those named in ``payloads`` are handed to Python, in batches
     that Spark bounds by bytes.
     """
@@ -161,14 +164,19 @@ def extract_pages(
     def read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                texts = [text or "" for text in extractor(bytes(row.content))]
+                try:
+                    texts, error = [text or "" for text in extractor(bytes(row.content))], None
+                except Exception as problem:  # one broken file must not stop the others
+                    texts, error = [], f"{type(problem).__name__}: {problem}"
+                count = len(texts)
                 yield pd.DataFrame(
                     {
                         "document_name": row.file_name,
                         "file_path": row.absolute_path,
-                        "page": range(1, len(texts) + 1),
-                        "total_pages": len(texts),
-                        "raw_text": texts,
+                        "page": pd.array(range(1, count + 1) if count else [None], dtype="Int32"),
+                        "total_pages": pd.array([count] * max(count, 1), dtype="Int32"),
+                        "raw_text": texts or [None],
+                        "error": error,
                     }
                 )
 

@@ -138,6 +138,37 @@ def test_ingest_then_ask(spark, folder, tmp_path):
     assert contexts[0].context.endswith("\n")
 
 
+def test_failed_file_keeps_its_document_and_is_tried_again(spark, folder, tmp_path):
+    path, put = folder
+    broken = {b"bad"}
+
+    def extractor(body):
+        if body in broken:
+            raise ValueError("no pages")
+        return body.decode().split("\f") if body != b"none" else []
+
+    def read(chosen):
+        return fs.extract_pages(spark, fs.file_payloads(chosen), str(path), extractor)
+
+    def scan(root):
+        return scan_and_ingest(root, fs.list_folder(spark, str(path)), read)
+
+    store = ChunkStore(spark, str(tmp_path / "kb"))
+    put("a.pdf", b"good")
+    assert scan(store).synchronized == 2
+    put("a.pdf", b"bad", 1_700_000_060)
+    put("b.pdf", b"none", 1_700_000_060)
+    outcome = scan(store)
+    assert outcome.status == "Scan completed successfully: 1/2 documents synchronized."
+    assert [(r.document_name, r.error) for r in outcome.failures.collect()] == [("a.pdf", "ValueError: no pages")]
+    # The broken file's chunks stay, the one without pages loses its own.
+    assert [(r.document_name, r.text) for r in store.read().collect()] == [("a.pdf", "good")]
+    assert [(r.document_name, r.total_pages, r.chunks_indexed) for r in outcome.receipts.collect()] == [("b.pdf", 0, 0)]
+    broken.clear()
+    assert scan(store).synchronized == 1
+    assert [r.text for r in store.read().collect()] == ["bad"]
+
+
 def test_event_lines_skip_noise(spark, tmp_path):
     path = str(tmp_path / "lines")
     events = spark.createDataFrame(
