@@ -27,14 +27,15 @@ from citemill.llm.common import table, texts
 # The patterns of the known forms, in the order of their kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
-HEX = r"[0-9a-f]{16,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{16,}"
 ASSIGN_VALUE_MIN = 12
 KINDS = ("assign", "access", "hex", "markov")
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+# The look-behind keeps a failed run from being tried again at each of its characters.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 # Documents, in expectation, whose words train the identifier model.
-TRAIN_DOCUMENTS = 4000
+TRAIN_DOCUMENTS = 1000
 RANDOM_PRIOR = 1.0
 IDENTIFIER_PRIOR = 0.05
 THRESHOLD = 0.8

@@ -20,7 +20,8 @@ from citemill.llm.catalog import register
 from citemill.llm.common import BLANKS, WORD, table, texts
 
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
+SYMBOL = r"[#*$%&|<>]+"
+BLANK = r"[\x20\x09-\x0D]+"
 MEASURES = (
     "n_words",
     "word_chars",
@@ -29,7 +30,6 @@ MEASURES = (
     "n_repeat_words",
     "n_lines",
     "n_stutters",
-    "n_letters",
     "n_upper",
 )
 
@@ -46,9 +46,8 @@ RULES = (
     Rule("short", "n_words < 20"),
     Rule("repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("upper_case", "2 * n_upper > n_letters"),
+    Rule("upper_case", "10 * n_upper > 4 * word_chars"),
     Rule("stutter", "10 * n_stutters > 3 * n_words"),
-    Rule("no_letters", "2 * n_letters < word_chars"),
     Rule("dup_lines", "2 * n_dup_lines > n_lines"),
 )
 BASE = ("short", "repeated_windows")
@@ -118,13 +117,12 @@ def measure(docs: DataFrame) -> DataFrame:
     measured = _repeated_words(with_words).select(
         "doc_id",
         F.size("word_hashes").cast("long").alias("n_words"),
-        F.length(F.translate("t", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        without(BLANK).alias("word_chars"),
+        (F.length("t") - without(SYMBOL)).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.filter("word_hashes", stutters)).cast("long").alias("n_stutters"),
-        without(r"[^\p{L}]+").alias("n_letters"),
         without(r"[^\p{Lu}]+").alias("n_upper"),
     )
     return measured.select("doc_id", *MEASURES)
@@ -189,15 +187,13 @@ m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(wor
     len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines,
     len(list_filter(words, lambda x, k: k > 1 AND words[k-1] = x)) AS n_stutters,
-    length(regexp_replace(t, '[^\p{L}]+', '', 'g'))::BIGINT AS n_letters,
     length(regexp_replace(t, '[^\p{Lu}]+', '', 'g'))::BIGINT AS n_upper
   FROM w LEFT JOIN rep USING (r)),
 b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
-    + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 2 * n_upper > n_letters THEN 8 ELSE 0 END)
-    + (CASE WHEN 10 * n_stutters > 3 * n_words THEN 16 ELSE 0 END) + (CASE WHEN 2 * n_letters < word_chars THEN 32 ELSE 0 END)
-    + (CASE WHEN 2 * n_dup_lines > n_lines THEN 64 ELSE 0 END) AS fail_bits FROM m)
+    + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 10 * n_upper > 4 * word_chars THEN 8 ELSE 0 END)
+    + (CASE WHEN 10 * n_stutters > 3 * n_words THEN 16 ELSE 0 END) + (CASE WHEN 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
-  fail_bits = 0 AS kept, n_lines, n_stutters, n_letters, n_upper, fail_bits::BIGINT AS fail_bits FROM b
+  fail_bits = 0 AS kept, n_lines, n_stutters, n_upper, fail_bits::BIGINT AS fail_bits FROM b
 """
 
 
