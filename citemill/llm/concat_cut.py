@@ -121,7 +121,7 @@ def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     summed on the driver and its rows read again.
     """
     totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()
-    before, total = [0] * (max((r.part for r in totals), default=-1) + 1), 0
+    before, total = [0] * (max((r.part for r in totals), default=0) + 1), 0
     for row in sorted(totals, key=lambda r: r.part):
         before[row.part], total = total, total + row.n
     bases = F.split(F.lit(",".join(map(str, before))), ",").cast("array<long>")

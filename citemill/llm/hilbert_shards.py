@@ -101,7 +101,7 @@ def shard_runs(
     numbered = staged(ordered.withColumn("at", F.monotonically_increasing_id()), "curve-order")
     part = F.shiftright("at", 33)
     sizes = {r.part: r.n for r in numbered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    before, total = [0] * (max(sizes, default=-1) + 1), 0
+    before, total = [0] * (max(sizes, default=0) + 1), 0
     for number in sorted(sizes):
         before[number], total = total, total + sizes[number]
     bases = F.split(F.lit(",".join(map(str, before))), ",").cast("array<long>")

@@ -58,6 +58,8 @@ class PieceCoder:
                 self.ids[piece], self.scores[piece] = i, lib.get_score(i)
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
         self.known: dict[str, bytes] = {}
+        # Ids of the word that stands before the one to be checked.
+        self.ahead = len(lib.encode("a"))
 
     def merge(self, word: str) -> list[int]:
         """Ids of a word in which spaces are already written as U+2581."""
@@ -96,10 +98,9 @@ class PieceCoder:
 
     def _learn(self, word: str) -> bytes:
         mine = self.merge(word)
-        plain = word.replace(SPACE, " ")
-        theirs = self.library.encode(plain[1:])
+        theirs = self.library.encode("a" + word)[self.ahead :]
         if mine != theirs:
-            raise ValueError(f"the library encodes {plain!r} differently")
+            raise ValueError(f"the library encodes {word!r} differently")
         packed = np.array(mine, "<u4").tobytes()
         if len(word) <= WORD_CHARS_HELD:
             if len(self.known) >= WORDS_HELD:
