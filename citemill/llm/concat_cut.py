@@ -14,6 +14,7 @@ no pieces.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,9 @@ from citemill.llm.common import staged, table
 
 WINDOW = 2048
 END_ID = 1
-WORDS_HELD = 500_000
+WORDS_HELD = 1_000_000
 WORD_BYTES_HELD = 64
+_MARKS = b".,;:!?*&$%#"
 TOKEN_SCHEMA = "doc_id long, part int, place long, n_tokens long, ids binary"
 
 
@@ -41,40 +43,57 @@ class WordCoder:
     """
 
     def __init__(self, model: str):
+        # A task has one core; the library's own threads would only compete for it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(model)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # Words seen lately; when the newer half is full it becomes the older one.
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _packed(self, encoding) -> bytes:
         return np.array(encoding.ids, "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        codes = self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        found = dict(zip(words, map(self._packed, codes)))
-        if len(self.known) + len(found) > WORDS_HELD:
-            self.known.clear()
-        self.known.update((w, c) for w, c in found.items() if len(w) <= WORD_BYTES_HELD)
+        """Ids of new words; the library sees their parts, each new part once and in one call.
+
+        A run of letters and a run of marks after it are always cut apart by the model,
+        which also lower-cases, so ``Word.`` is learned as ``word`` and ``.``.
+        """
+        parts = {w: self._parts(w) for w in words if w not in self.older}
+        seen = {p for own in parts.values() for p in own}
+        ids = {p: code for p in seen if (code := self.known.get(p) or self.older.get(p))}
+        new = list(seen - ids.keys())
+        codes = self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
+        ids.update(zip(new, map(self._packed, codes)))
+        found = {w: b"".join([ids[p] for p in parts[w]]) if w in parts else self.older[w] for w in words}
+        if len(self.known) >= WORDS_HELD // 2:
+            self.older, self.known = self.known, {}
+        self.known.update((w, c) for held in (ids, found) for w, c in held.items() if len(w) <= WORD_BYTES_HELD)
         return found
 
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, ...]:
+        core = word.rstrip(_MARKS)
+        if core.isalpha():  # of bytes: ASCII letters only
+            return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
+        return (word,)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         # Bytes split at space, tab and line ends only; other white space stays for the library.
         split = [text.encode().split() for text in texts]
-        ids: list[bytes] = []
-        for text, words in zip(texts, split):
-            if any(mark in text for mark in self.special):
-                ids.append(self._packed(self.library.encode(text, add_special_tokens=False)))
-                continue
-            known = self.known
-            new = set(words) - known.keys()
-            if new:
-                # The memory may be cleared while it learns; this text keeps what it needs.
-                known = {w: known[w] for w in set(words) - new}
-                known.update(self._learn(list(new)))
-            ids.append(b"".join([known[w] for w in words]))
-        return ids
+        known = self.known
+        new = {w for words in split for w in words if w not in known}
+        learned = self._learn(list(new)) if new else {}
+        return [
+            self._packed(self.library.encode(text, add_special_tokens=False))
+            if any(mark in text for mark in self.special)
+            else b"".join([known.get(w) or learned[w] for w in words])
+            for text, words in zip(texts, split)
+        ]
 
 
 _CODERS: dict[int, WordCoder] = {}

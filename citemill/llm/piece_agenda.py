@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from citemill.llm.catalog import register
 from citemill.llm.common import table
 
 SPACE = "▁"
-WORDS_HELD = 400_000
+WORDS_HELD = 1_000_000
 WORD_CHARS_HELD = 64
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -43,7 +44,7 @@ class PieceCoder:
 
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         lib, size = self.library, self.library.get_piece_size()
-        self.ids, self.scores, self.bytes_of, self.byte_ids = {}, {}, [], [0] * 256
+        self.ids, self.costs, self.bytes_of, self.byte_ids = {}, {}, [], [0] * 256
         for i in range(size):
             piece = lib.id_to_piece(i)
             if lib.is_byte(i):
@@ -55,40 +56,41 @@ class PieceCoder:
             else:
                 if SPACE in piece.lstrip(SPACE):
                     raise ValueError(f"piece {i} spans words; texts cannot be cut into words")
-                self.ids[piece], self.scores[piece] = i, lib.get_score(i)
+                self.ids[piece], self.costs[piece] = i, -lib.get_score(i)
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
+        # Words seen lately; when the newer half is full it becomes the older one.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Ids of the word that stands before the one to be checked.
         self.ahead = len(lib.encode("a"))
 
     def merge(self, word: str) -> list[int]:
         """Ids of a word in which spaces are already written as U+2581."""
-        symbols, scores = list(word), self.scores
-        after = list(range(1, len(symbols) + 1))
-        before = list(range(-1, len(symbols) - 1))
-        agenda: list[tuple[float, int, int, str]] = []
-
-        def offer(left: int) -> None:
-            right = after[left]
-            if left >= 0 and right < len(symbols):
-                pair = symbols[left] + symbols[right]
-                score = scores.get(pair)
-                if score is not None:
-                    heapq.heappush(agenda, (-score, left, right, pair))
-
-        for i in range(len(symbols) - 1):
-            offer(i)
+        symbols, costs = list(word), self.costs
+        size = len(symbols)
+        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+        # (negated score, place of the left symbol, place of the right one, their text)
+        agenda = [
+            (costs[pair], i, i + 1, pair) for i in range(size - 1) if (pair := word[i : i + 2]) in costs
+        ]
+        heapq.heapify(agenda)
         while agenda:
             _, left, right, pair = heapq.heappop(agenda)
+            # Out of date where either symbol has merged elsewhere since.
             if not symbols[left] or not symbols[right] or symbols[left] + symbols[right] != pair:
                 continue
             symbols[left], symbols[right] = pair, ""
-            after[left] = after[right]
-            if after[right] < len(symbols):
-                before[after[right]] = left
-            if before[left] >= 0:
-                offer(before[left])
-            offer(left)
+            after[left] = following = after[right]
+            if following < size:
+                before[following] = left
+                longer = pair + symbols[following]
+                if longer in costs:
+                    heapq.heappush(agenda, (costs[longer], left, following, longer))
+            preceding = before[left]
+            if preceding >= 0:
+                longer = symbols[preceding] + pair
+                if longer in costs:
+                    heapq.heappush(agenda, (costs[longer], preceding, left, longer))
         found: list[int] = []
         for symbol in symbols:
             if symbol:
@@ -96,26 +98,27 @@ class PieceCoder:
                 found += [number] if number is not None else [self.byte_ids[b] for b in symbol.encode()]
         return found
 
-    def _learn(self, word: str) -> bytes:
-        mine = self.merge(word)
-        theirs = self.library.encode("a" + word)[self.ahead :]
-        if mine != theirs:
-            raise ValueError(f"the library encodes {word!r} differently")
-        packed = np.array(mine, "<u4").tobytes()
-        if len(word) <= WORD_CHARS_HELD:
-            if len(self.known) >= WORDS_HELD:
-                self.known.clear()
-            self.known[word] = packed
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        """Ids with begin and end, as little-endian unsigned 32-bit integers."""
-        known, learn = self.known, self._learn
-        body = b""
-        if text:
-            words = _WORDS.findall(SPACE + text.replace(" ", SPACE))
-            body = b"".join([known.get(word) or learn(word) for word in words])
-        return self._framed(body)
+    def _check(self, new: dict[str, list[int]]) -> None:
+        """Stop where the library encodes a new word otherwise, behind a word of its own."""
+        theirs = self.library.encode(["a" + word for word in new])
+        for (word, mine), other in zip(new.items(), theirs):
+            if other[self.ahead :] != mine:
+                raise ValueError(f"the library encodes {word!r} differently")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text with begin and end, as little-endian unsigned 32-bit integers."""
+        split = [_WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        known, older = self.known, self.older
+        missing = {w for words in split for w in words if w not in known}
+        learned = {w: older[w] for w in missing if w in older}
+        new = {w: self.merge(w) for w in missing if w not in learned}
+        if new:
+            self._check(new)
+            learned.update((w, struct.pack(f"<{len(ids)}I", *ids)) for w, ids in new.items())
+        if len(known) >= WORDS_HELD // 2:
+            self.older, self.known = known, {}
+        self.known.update((w, code) for w, code in learned.items() if len(w) <= WORD_CHARS_HELD)
+        return [self._framed(b"".join([known.get(w) or learned[w] for w in words])) for words in split]
 
     def _framed(self, body: bytes) -> bytes:
         begin, end = (i.to_bytes(4, "little") for i in (self.library.bos_id(), self.library.eos_id()))
@@ -147,7 +150,7 @@ def encode_decode(docs: DataFrame, model: bytes, check_texts: bool = False) -> D
         coder = _coder(shared.value)
         for batch in batches:
             bodies = [text or "" for text in batch.column(1).to_pylist()]
-            ids = [coder.encode(text) for text in bodies]
+            ids = coder.encode(bodies)
             decoded = [coder.decode(packed) for packed in ids]
             if check_texts:
                 theirs = coder.library.encode(bodies, add_bos=True, add_eos=True)
