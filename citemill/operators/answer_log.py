@@ -69,8 +69,8 @@ def prune_answers(
 
 
 def live_answers(questions: DataFrame, answers: DataFrame, ttl_seconds: int = fixed.CACHE_TTL_SECONDS) -> DataFrame:
-    """Questions with the kept answer that is younger than the TTL, or nulls."""
+    """Questions with the kept answer; a hit if it was there already and is younger than the TTL."""
     age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("answer_ts").cast("timestamp"))
     return questions.join(answers, "cache_key", "left").withColumn(
-        "hit", F.coalesce(age < ttl_seconds * 1_000_000, F.lit(False))
+        "hit", F.coalesce((age >= 0) & (age < ttl_seconds * 1_000_000), F.lit(False))
     )

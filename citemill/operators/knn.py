@@ -119,8 +119,12 @@ def _types(questions: DataFrame, chunks: DataFrame) -> tuple[pa.DataType, pa.Dat
 def _ranked(candidates: DataFrame) -> DataFrame:
     """Final cut over the tasks' candidates; Spark cuts before and after the shuffle."""
     order = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
+    too_many = F.raise_error(F.lit(f"top_k above {fixed.TOP_K_MAX}")).cast("int")
+    checked = candidates.withColumn(
+        "top_k", F.when(F.col("top_k") > fixed.TOP_K_MAX, too_many).otherwise(F.col("top_k"))
+    )
     return (
-        candidates.withColumn("rank", F.row_number().over(order))
+        checked.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= fixed.FETCH_FACTOR * fixed.TOP_K_MAX)
         .filter(F.col("rank") <= fixed.FETCH_FACTOR * F.col("top_k"))
     )

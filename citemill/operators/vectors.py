@@ -19,10 +19,13 @@ Embedder = Callable[[DataFrame, str, str], DataFrame]
 def hashed_word_embedder(
     rows: DataFrame, text: str, out: str, size: int = fixed.EMBEDDING_SIZE
 ) -> DataFrame:
-    """Unit vectors of hashed word counts: needs no model and no fitting."""
+    """Unit vectors of hashed word counts, words of any script: needs no model and no fitting.
+
+    A text without words has the zero vector, at distance 1 from everything.
+    """
     steps = Pipeline(
         stages=[
-            RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"\W+", toLowercase=True),
+            RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"(?U)\W+", toLowercase=True),
             HashingTF(inputCol="__words", outputCol="__counts", numFeatures=size),
             Normalizer(inputCol="__counts", outputCol="__unit"),
         ]
@@ -49,5 +52,6 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """1 minus the cosine of two arrays in one row, worked out in double."""
-    return 1 - _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+    """1 minus the cosine of two arrays in one row, worked out in double; 1 where one is zero."""
+    cosine = F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+    return F.when(a.isNotNull() & b.isNotNull(), 1 - F.coalesce(cosine, F.lit(0.0)))

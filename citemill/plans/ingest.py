@@ -63,19 +63,17 @@ def scan_and_ingest(
     read_pages: Callable[[DataFrame], DataFrame],
     force_all: bool = False,
     manual: bool = False,
-    batch: int | None = None,
     embedder: Embedder = hashed_word_embedder,
 ) -> ScanOutcome:
     """One scan: valid files, the changed ones (or all), their pages, publish, manifest.
 
     ``files`` is a listing (absolute_path, length, modified_ms), ``read_pages``
     turns the chosen listing rows into page rows. The manifest is written after
-    the publish, so files of a failed run are taken again by the next. ``batch``
-    numbers the manifest for retries.
+    the publish, so files of a failed run are taken again by the next. A scan that
+    is repeated after its manifest was written finds nothing changed, whoever
+    started it, so manual and polled scans share a store.
     """
-    version = store.manifest_version() + 1 if batch is None else batch
-    if version <= store.manifest_version():
-        return ScanOutcome(0, 0, fixed.STATUS_UP_TO_DATE)
+    version = store.manifest_version() + 1
     valid = files.filter(is_valid_pdf(F.col("absolute_path"), F.col("length")))
     chosen = valid if force_all else changed_files(valid, store.manifest())
     # The listing may differ when it is read again, so the choice is kept.

@@ -2,8 +2,9 @@
 
 Spark's file source never emits a changed file again, so the stream is one of
 ticks. Each tick's batch lists the folder, compares it with the manifest and
-publishes. A query never overlaps itself, and a repeated batch is skipped by its
-number, so retries after a lost driver do no harm.
+publishes. A query never overlaps itself, and a repeated batch finds its own files
+in the manifest, so retries after a lost driver do no harm. Batch numbers decide
+nothing: manual scans may come in between, and a checkpoint may be new.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def start_polling(
     """
 
     def scan(_: DataFrame, batch: int) -> None:
-        outcome = scan_and_ingest(store, list_files(), read_pages, batch=batch, embedder=embedder)
+        outcome = scan_and_ingest(store, list_files(), read_pages, embedder=embedder)
         if on_scan:
             on_scan(batch, outcome)
 
