@@ -44,11 +44,11 @@ def p16(spark, folder):
              || CASE WHEN coalesce(section, '') <> '' THEN ' › ' || section ELSE '' END
              || CASE WHEN coalesce(page, 0) <> 0 THEN ' › Page ' || page ELSE '' END AS label
            FROM chunks""",
-        given.CHUNKS,
+        given.DOCUMENT_CHUNKS,
     ),
 )
 def p17(spark, folder):
-    return given.chunks(spark, folder).select(
+    return given.document_chunks(spark, folder).select(
         "chunk_id",
         an.citation_label(
             F.col("chunk_index") + 1, F.col("document_name"), F.col("section"), F.col("page")

@@ -109,7 +109,7 @@ fresh AS (
 
 def _replacement(spark, folder):
     """Documents with a toxic chunk are read again and keep only their good chunks."""
-    existing = given.chunks(spark, folder).select("chunk_id", "document_name", "page", "section")
+    existing = given.document_chunks(spark, folder).select("chunk_id", "document_name", "page", "section")
     labels = given.table(spark, folder, "labels")
     labelled = existing.join(labels, existing["chunk_id"] == labels["doc_id"])
     processed = labelled.filter("toxic = 1 AND document_name IS NOT NULL").select("document_name").distinct()
@@ -127,7 +127,7 @@ def _replacement(spark, folder):
         """SELECT chunk_id, document_name, page, section FROM chunks
            WHERE document_name IS NULL OR document_name NOT IN (SELECT document_name FROM incoming)
            UNION ALL SELECT * FROM fresh""",
-        given.CHUNKS, REPLACED_PARTS,
+        given.DOCUMENT_CHUNKS, REPLACED_PARTS,
     ),
 )
 def s10(spark, folder):
@@ -140,7 +140,7 @@ def s10(spark, folder):
         """SELECT chunk_id, document_name, page, section FROM chunks
            WHERE document_name IS NOT NULL AND document_name NOT IN (SELECT document_name FROM incoming)
            UNION ALL SELECT * FROM fresh""",
-        given.CHUNKS, REPLACED_PARTS,
+        given.DOCUMENT_CHUNKS, REPLACED_PARTS,
     ),
 )
 def s10_versioned(spark, folder):
@@ -158,7 +158,7 @@ def s10_versioned(spark, folder):
     given.with_ctes(
         """SELECT chunk_id, document_name FROM chunks
            WHERE document_name IS NULL OR document_name NOT IN (SELECT document_name FROM incoming)""",
-        given.CHUNKS, REPLACED_PARTS,
+        given.DOCUMENT_CHUNKS, REPLACED_PARTS,
     ),
 )
 def j2(spark, folder):
@@ -176,11 +176,11 @@ def j2(spark, folder):
            FROM (SELECT document_name, chunk_index, coalesce(file_path, '') AS file_path,
                         coalesce(total_pages, 0) AS total_pages FROM chunks)
            GROUP BY 1""",
-        given.CHUNKS,
+        given.DOCUMENT_CHUNKS,
     ),
 )
 def a1(spark, folder):
-    return cat.document_catalog(given.chunks(spark, folder))
+    return cat.document_catalog(given.document_chunks(spark, folder))
 
 
 @register(

@@ -215,11 +215,14 @@ QUESTIONS = """questions AS (
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = table(spark, folder, "embeddings")
-    documents = spread_documents(spark, folder)
-    return vectors.join(documents, vectors["vec_id"] == documents["doc_id"]).select(
-        F.col("vec_id").alias("chunk_id"),
-        "embedding",
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return vectors.join(document_chunks(spark, folder), "chunk_id")
+
+
+def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a chunk, for what needs no vector."""
+    return spread_documents(spark, folder).select(
+        F.col("doc_id").alias("chunk_id"),
         F.when(F.col("source") != "src3", F.col("source")).alias("document_name"),
         F.when(F.col("lang") != "fr", 1 + F.col("doc_id") % 9).cast("int").alias("page"),
         F.when(F.col("lang") != "es", F.concat(F.lit("Section "), "lang")).alias("section"),
@@ -230,16 +233,23 @@ def chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-CHUNKS = """chunks AS (
-  SELECT vec_id AS chunk_id, embedding,
-         CASE WHEN source <> 'src3' THEN source END AS document_name,
+_CHUNK_COLUMNS = """CASE WHEN source <> 'src3' THEN source END AS document_name,
          CASE WHEN lang <> 'fr' THEN CAST(1 + doc_id % 9 AS INTEGER) END AS page,
          CASE WHEN lang <> 'es' THEN 'Section ' || lang END AS section,
          text, doc_id AS chunk_index,
          CASE WHEN source <> 'src4' THEN '/data/' || source END AS file_path,
-         CASE WHEN source <> 'src5' THEN CAST(n_chars AS INTEGER) END AS total_pages
+         CASE WHEN source <> 'src5' THEN CAST(n_chars AS INTEGER) END AS total_pages"""
+
+CHUNKS = f"""chunks AS (
+  SELECT vec_id AS chunk_id, embedding,
+         {_CHUNK_COLUMNS}
   FROM embeddings JOIN documents ON vec_id = doc_id)"""
 
+DOCUMENT_CHUNKS = f"""chunks AS (
+  SELECT doc_id AS chunk_id,
+         {_CHUNK_COLUMNS}
+  FROM documents)"""
+
 PAIRS = """pairs AS (
   SELECT query_id, top_k, chunk_id,
          greatest(round(1 - list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))
