@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +28,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts in ``column`` have about ``size`` bytes, one row at least."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    runs = np.cumsum(lengths, dtype=np.int64) // size
+    starts = [0, *(np.flatnonzero(np.diff(runs)) + 1), len(runs)]
+    for start, end in zip(starts, starts[1:]):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 def staged(frame: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back, which cuts lineage.
 

@@ -2,7 +2,7 @@
 
 Pass one tokenises each document once and writes the ids with the document's place
 in its own partition (the partition's running total). Pass two adds up the totals
-of the partitions, one number each, to global offsets. From there every document is
+of the partitions, one row each, to global offsets and joins them to the rows. From there every document is
 cut on its own where a window ends; a document over a boundary leaves one record on
 each side. Only the last window is padded. Nothing is sorted or shuffled.
 
@@ -14,32 +14,47 @@ no pieces.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citemill.llm.catalog import register
-from citemill.llm.common import staged, table
+from citemill.llm.common import BLANKS, slices, staged, table
 
 WINDOW = 2048
 END_ID = 1
-WORDS_HELD = 1_000_000
-WORD_BYTES_HELD = 64
-_MARKS = b".,;:!?*&$%#"
+PIECES_HELD = 400_000
+PIECE_CHARS_HELD = 64
+# Bytes of text that become Python strings, and characters that are cut into pieces, at a time.
+SLICE_BYTES = 1 << 21
+CUT_CHARS = 1 << 18
+# The split pattern of the public word model, and the same for lower-cased Latin-1.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLIT_LATIN = re.compile(
+    rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+    rb"|[^\x09-\x0d\x20\x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
+)
+_LATIN_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
+_BLANKS = re.compile(f"[{BLANKS}]+")
 TOKEN_SCHEMA = "doc_id long, part int, place long, n_tokens long, ids binary"
 
 
 class WordCoder:
-    """The tokenizer with a bounded memory of words.
-
-    The model drops white space and never joins across it, so ids of a text are the
-    ids of its words between spaces, tabs and line ends. A text with one of the
-    model's special strings, whose ids may span words, goes to the library whole.
+    """The tokenizer with a bounded memory of the pieces that texts are made of.
+
+    The model never joins across white space, and the word model cuts what is left by a
+    fixed pattern before it looks anything up, so a text's ids are those of its pieces.
+    Latin-1 words are lower-cased and cut here; other words, and all words of models
+    with another pattern, are remembered whole. A text with one of the model's special
+    strings, whose ids may span words, goes to the library as it is. A piece may have
+    no ids at all, such as a lone U+2028.
     """
 
     def __init__(self, model: str):
@@ -49,51 +64,90 @@ class WordCoder:
 
         self.library = Tokenizer.from_str(model)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # Words seen lately; when the newer half is full it becomes the older one.
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.cuts_latin = self._has_word_pattern(model)
+        # Pieces seen lately; when they are too many they become the older ones.
+        self.known: dict[bytes | str, bytes] = {}
+        self.older: dict[bytes | str, bytes] = {}
+
+    @staticmethod
+    def _has_word_pattern(model: str) -> bool:
+        """Whether the model normalises and splits as ``_SPLIT_LATIN`` does."""
+        read = json.loads(model)
+        parts = lambda step, name: (step or {}).get(name) or [step or {}]
+        normal = [n.get("type") for n in parts(read.get("normalizer"), "normalizers")]
+        split = parts(read.get("pre_tokenizer"), "pretokenizers")[0]
+        return (
+            normal == ["NFC", "Replace", "Lowercase"]
+            and split.get("type") == "Split"
+            and split.get("pattern") == {"Regex": SPLIT}
+            and split.get("behavior") == "Removed"
+        )
 
     def _packed(self, encoding) -> bytes:
         return np.array(encoding.ids, "<u4").tobytes()
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words; the library sees their parts, each new part once and in one call.
-
-        A run of letters and a run of marks after it are always cut apart by the model,
-        which also lower-cases, so ``Word.`` is learned as ``word`` and ``.``.
-        """
-        parts = {w: self._parts(w) for w in words if w not in self.older}
-        seen = {p for own in parts.values() for p in own}
-        ids = {p: code for p in seen if (code := self.known.get(p) or self.older.get(p))}
-        new = list(seen - ids.keys())
-        codes = self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        ids.update(zip(new, map(self._packed, codes)))
-        found = {w: b"".join([ids[p] for p in parts[w]]) if w in parts else self.older[w] for w in words}
-        if len(self.known) >= WORDS_HELD // 2:
-            self.older, self.known = self.known, {}
-        self.known.update((w, c) for held in (ids, found) for w, c in held.items() if len(w) <= WORD_BYTES_HELD)
+    def _pieces(self, text: str) -> list[bytes | str]:
+        if self.cuts_latin:
+            try:
+                return _SPLIT_LATIN.findall(text.encode("latin-1").translate(_LATIN_LOWER))
+            except UnicodeEncodeError:
+                pass
+        found: list[bytes | str] = []
+        for word in _BLANKS.split(text):
+            if self.cuts_latin and max(word, default="") <= "\xff":
+                found += _SPLIT_LATIN.findall(word.encode("latin-1").translate(_LATIN_LOWER))
+            elif word:
+                found.append(word)
         return found
 
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, ...]:
-        core = word.rstrip(_MARKS)
-        if core.isalpha():  # of bytes: ASCII letters only
-            return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
-        return (word,)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        # Bytes split at space, tab and line ends only; other white space stays for the library.
-        split = [text.encode().split() for text in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        learned = self._learn(list(new)) if new else {}
-        return [
-            self._packed(self.library.encode(text, add_special_tokens=False))
-            if any(mark in text for mark in self.special)
-            else b"".join([known.get(w) or learned[w] for w in words])
-            for text, words in zip(texts, split)
-        ]
+    def _learn(self, pieces: set[bytes | str]) -> list[bytes | str]:
+        """Makes all of these known; returns those too long to be kept."""
+        if len(self.known) > PIECES_HELD // 2:
+            self.older, self.known = self.known, {}
+        new = pieces.difference(self.known)
+        self.known.update((piece, self.older[piece]) for piece in new if piece in self.older)
+        new = list(new.difference(self.older))
+        self.known.update(zip(new, self._library_codes(new)))
+        return [piece for piece in new if len(piece) > PIECE_CHARS_HELD]
+
+    def _library_codes(self, pieces: list[bytes | str]) -> list[bytes]:
+        """Ids of each piece from one call: they go joined by a special string, and the ids are cut at its id."""
+        texts = [p.decode("latin-1") if isinstance(p, bytes) else p for p in pieces]
+        if not self.special or len(texts) < 2:
+            return [self._packed(self.library.encode(text, add_special_tokens=False)) for text in texts]
+        mark = self.special[0]
+        joined = self.library.encode_batch_fast([mark.join(texts)], add_special_tokens=False)[0]
+        ids = np.array(joined.ids, "<u4")
+        cuts = np.flatnonzero(ids == self.library.token_to_id(mark)) * 4
+        if len(cuts) != len(texts) - 1:
+            raise ValueError("the model does not keep its special strings apart")
+        data = ids.tobytes()
+        return [data[start:end] for start, end in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)])]
+
+    def _cut_codes(self, text: str) -> bytes:
+        pieces = self._pieces(text)
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            passing = self._learn(set(pieces))
+        ids = b"".join(map(self.known.__getitem__, pieces))
+        for piece in passing:
+            del self.known[piece]
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if any(mark in text for mark in self.special):
+            return self._packed(self.library.encode(text, add_special_tokens=False))
+        if len(text) <= CUT_CHARS:
+            return self._cut_codes(text)
+        found, at = [], 0
+        while at < len(text):
+            blank = _BLANKS.search(text, at + CUT_CHARS)
+            end = blank.start() if blank else len(text)
+            found.append(self._cut_codes(text[at:end]))
+            at = end
+        return b"".join(found)
 
 
 _CODERS: dict[int, WordCoder] = {}
@@ -115,20 +169,21 @@ def tokenise(docs: DataFrame, model: str, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, place = _coder(shared.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            codes = [code + end for code in coder.encode([t or "" for t in batch.column(1).to_pylist()])]
-            lengths = np.array([len(code) // 4 for code in codes], np.int64)
-            ends = place + np.cumsum(lengths)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array(np.full(len(codes), part, np.int32)),
-                    pa.array(ends - lengths),
-                    pa.array(lengths),
-                    pa.array(codes, pa.binary()),
-                ],
-                ["doc_id", "part", "place", "n_tokens", "ids"],
-            )
-            place = int(ends[-1]) if len(ends) else place
+            for rows in slices(batch, 1, SLICE_BYTES):
+                codes = [coder.encode(text or "") + end for text in rows.column(1).to_pylist()]
+                lengths = np.array([len(code) // 4 for code in codes], np.int64)
+                ends = place + np.cumsum(lengths)
+                place = int(ends[-1])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rows.column(0).cast(pa.int64()),
+                        pa.array(np.full(len(codes), part, np.int32)),
+                        pa.array(ends - lengths),
+                        pa.array(lengths),
+                        pa.array(codes, pa.binary()),
+                    ],
+                    ["doc_id", "part", "place", "n_tokens", "ids"],
+                )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, TOKEN_SCHEMA)
 
@@ -136,16 +191,15 @@ def tokenise(docs: DataFrame, model: str, end_id: int = END_ID) -> DataFrame:
 def cut(tokens: DataFrame, window: int = WINDOW) -> DataFrame:
     """Pieces of documents: sequence_id, offset, start, length, ids (binary), doc_tokens.
 
-    ``tokens`` must be a written table: its partitions' totals, one row each, are
-    summed on the driver and its rows read again.
+    ``tokens`` must be a written table, since its rows are read twice. The running
+    total over its partitions is a window over one row per partition, joined back.
     """
-    totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()
-    before, total = [0] * (max((r.part for r in totals), default=0) + 1), 0
-    for row in sorted(totals, key=lambda r: r.part):
-        before[row.part], total = total, total + row.n
-    bases = F.split(F.lit(",".join(map(str, before))), ",").cast("array<long>")
+    totals = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     size = F.lit(window)
-    placed = tokens.withColumn("first", F.get(bases, F.col("part")) + F.col("place"))
+    # A row per write task of the token table: 16 bytes each, a few megabytes at 100,000 tasks.
+    placed = tokens.join(F.broadcast(bases), "part").withColumn("first", F.col("base") + F.col("place"))
     last = F.col("first") + F.col("n_tokens") - 1
 
     def piece(sequence):
