@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def with_place(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a column that tells its rows apart and is the same at every read.
+
+    Rows of Parquet files go by file and position. Other frames are written first.
+    """
+    spark = docs.sparkSession
+    if "_metadata" not in docs.columns:
+        try:
+            placed = docs.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(name))
+            placed.schema  # raises where the frame is not a plain file scan
+            return placed
+        except AnalysisException:
+            pass
+    return staged(docs.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "placed-rows")
+
+
 def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts in ``column`` have about ``size`` bytes, one row at least."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -81,25 +81,27 @@ def bucket_of(key: Column, directory: list[int]) -> Column:
     return F.get(slots, key_prefix(key, depth))
 
 
-def normalised(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", ascii_lower(texts(F.col("text"))).alias("body")).withColumn(
+def normalised(docs: DataFrame, place: str | None = None) -> DataFrame:
+    """``row`` is what rows of a group are compared by: the doc_id and, where given, the place."""
+    row = F.struct("doc_id", *([F.col(place).alias("place")] if place else [])).alias("row")
+    return docs.select(row, ascii_lower(texts(F.col("text"))).alias("body")).withColumn(
         "key", F.xxhash64("body")
     )
 
 
-def build_index(docs: DataFrame, directory: list[int]) -> DataFrame:
-    """One row per distinct text: bucket, key, chain, sha, keep_id, group_size.
+def build_index(docs: DataFrame, directory: list[int], place: str | None = None) -> DataFrame:
+    """One row per distinct text: bucket, key, chain, sha, keep (the greatest row), group_size.
 
     Grouping is by bucket, key and the bytes of the text, with a partial row per
     task first; ``chain`` numbers the different texts of one key. The index is
     written one folder per bucket by the bucket's owner task.
     """
     entries = (
-        normalised(docs)
+        normalised(docs, place)
         .withColumn("bucket", bucket_of(F.col("key"), directory))
         .groupBy("bucket", "key", "body")
-        .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .select("bucket", "key", F.sha2("body", 256).alias("sha"), "keep_id", "group_size")
+        .agg(F.max("row").alias("keep"), F.count("*").alias("group_size"))
+        .select("bucket", "key", F.sha2("body", 256).alias("sha"), "keep", "group_size")
     )
     chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy("sha"))
     owned = entries.repartition("bucket").withColumn("chain", chain)
@@ -110,21 +112,26 @@ def build_index(docs: DataFrame, directory: list[int]) -> DataFrame:
     return spark.read.schema(owned.schema).parquet(path)
 
 
-def exact_groups(docs: DataFrame, capacity: int | None = None) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain."""
+def exact_groups(docs: DataFrame, capacity: int | None = None, place: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain.
+
+    ``place`` names a column that tells all rows apart. It comes along, and of the rows
+    that share text and doc_id only the one with the greatest place is kept then.
+    """
     keys = staged(
-        normalised(docs).select("doc_id", "key", F.sha2("body", 256).alias("sha")), "dedup-keys"
+        normalised(docs, place).select("row", "key", F.sha2("body", 256).alias("sha")), "dedup-keys"
     )
-    index = build_index(docs, directory_of(keys, capacity))
+    index = build_index(docs, directory_of(keys, capacity), place)
     found = keys.join(index.hint("merge"), ["key", "sha"])
     return found.select(
-        "doc_id",
-        "keep_id",
+        "row.doc_id",
+        F.col("keep.doc_id").alias("keep_id"),
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.col("row").eqNullSafe(F.col("keep")).alias("kept"),
         F.col("sha").alias("text_sha256"),
         "bucket",
         "chain",
+        *([F.col("row.place").alias(place)] if place else []),
     )
 
 

@@ -141,6 +141,16 @@ def mixture(logs: np.ndarray, counts: np.ndarray) -> dict[int, float]:
     return dict(zip(chosen, weights.tolist()))
 
 
+def predict(text: str | None, langs: list[str], model: np.ndarray) -> dict[int, float]:
+    """Languages of a text and their shares; none without a letter. ``model`` has a row per n-gram."""
+    if not text or not langs:
+        return {}
+    grams, counts = trigram_counts(text)
+    if not len(grams) or not any(map(str.isalpha, text)):
+        return {}
+    return mixture(model[grams].T.astype(np.float64), counts.astype(np.float64))
+
+
 def identify(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score (share of that language), langs (map of all shares)."""
     shared = docs.sparkSession.sparkContext.broadcast(logs)
@@ -150,11 +160,7 @@ def identify(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
         for batch in batches:
             names, scores, shares = [], [], []
             for text in batch.column(1).to_pylist():
-                found: dict[int, float] = {}
-                if text and langs:
-                    grams, counts = trigram_counts(text)
-                    if len(grams) and any(map(str.isalpha, text)):
-                        found = mixture(model[grams].T.astype(np.float64), counts.astype(np.float64))
+                found = predict(text, langs, model)
                 best = min(found, key=lambda k: (-found[k], k), default=None)
                 names.append(UNKNOWN if best is None else langs[best])
                 scores.append(0.0 if best is None else min(1.0, found[best]))
@@ -174,6 +180,20 @@ def identify(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
     )
 
 
+def with_language(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
+    """The rows of ``docs`` in which a language is found, with all their columns, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(logs)
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = np.ascontiguousarray(shared.value.T)
+        for batch in batches:
+            found = [bool(predict(text, langs, model)) for text in batch.column(text_at).to_pylist()]
+            yield batch.filter(pa.array(found, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citemill.llm.catalog import register
 from citemill.llm.common import UPPER, staged, table
@@ -72,13 +73,20 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         prints = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(prints.view(np.int64))], ["doc_id", "print"]
+            [batch.column(0), pa.array(prints.view(np.int64))], ["row", "print"]
         )
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and print, the fingerprint as a signed 64-bit number."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, print long")
+def fingerprints(docs: DataFrame, place: str | None = None) -> DataFrame:
+    """row and print, the fingerprint as a signed 64-bit number.
+
+    ``row`` orders rows: those without a doc_id last, then by doc_id and, where given, place.
+    """
+    doc_id = F.col("doc_id").cast("long")
+    parts = [doc_id.isNull().alias("last"), doc_id.alias("doc_id"), *([F.col(place).alias("place")] if place else [])]
+    slim = docs.select(F.struct(*parts).alias("row"), "text")
+    schema = T.StructType([slim.schema["row"], T.StructField("print", T.LongType())])
+    return slim.mapInArrow(_fingerprints, schema)
 
 
 def ball(values: np.ndarray, width: int, radius: int) -> np.ndarray:
@@ -271,20 +279,30 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components still change after {rounds} rounds")
 
 
-def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, print and component_id of every document."""
-    marked = staged(fingerprints(docs), "fingerprints")
+def near_groups(docs: DataFrame, place: str | None = None) -> DataFrame:
+    """doc_id, print, component_id and kept of every document.
+
+    ``kept`` marks the rows with the smallest doc_id of their component. ``place``
+    names a column that tells all rows apart; it comes along, and one row is kept then.
+    """
+    marked = staged(fingerprints(docs, place), "fingerprints")
     prints = staged(
-        marked.groupBy("print").agg(F.min("doc_id").alias("first_id")), "different-fingerprints"
+        marked.groupBy("print").agg(F.min("row").alias("first")), "different-fingerprints"
     )
     found = components(near_links(prints))
     rooted = prints.join(found, F.col("print") == F.col("node"), "left").select(
-        "print", F.coalesce("root", "print").alias("root"), "first_id"
+        "print", F.coalesce("root", "print").alias("root"), "first"
     )
     rooted = staged(rooted, "rooted-fingerprints")
-    smallest = staged(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest-ids")
-    named = rooted.join(smallest.hint("merge"), "root").select("print", "component_id")
-    return marked.join(named.hint("merge"), "print").select("doc_id", "print", "component_id")
+    smallest = staged(rooted.groupBy("root").agg(F.min("first").alias("first")), "smallest-rows")
+    named = rooted.drop("first").join(smallest.hint("merge"), "root").select("print", "first")
+    return marked.join(named.hint("merge"), "print").select(
+        "row.doc_id",
+        "print",
+        F.col("first.doc_id").alias("component_id"),
+        F.col("row").eqNullSafe(F.col("first")).alias("kept"),
+        *([F.col("row.place").alias(place)] if place else []),
+    )
 
 
 @register("op8_simhash_balls")

@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes
 to the shared folder and reads again as the next stage's ``docs``. All but the last
-return the columns they were given.
+return the columns they were given. Verdicts are on rows: rows may repeat a doc_id or
+have none, and rows that are equal in all columns still count one by one, so that of
+a group of copies exactly one row stays.
 """
 
 from __future__ import annotations
@@ -11,30 +13,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citemill.llm import concat_cut, extendible_dedup, language_mixture, markov_secrets, simhash_balls
-from citemill.llm.common import staged, table
+from citemill.llm.common import staged, table, with_place
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose doc_id is in ``kept``; a null doc_id counts as one id."""
-    ids = kept.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+PLACE = "row_place"
+
+
+def _kept(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``groups`` keeps, row by row and not by their ids."""
+    rows = groups.where("kept").select(F.col(PLACE))
+    return docs.join(rows.hint("merge"), PLACE, "left_semi").drop(PLACE)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
-    found = language_mixture.identify(docs, *language_mixture.trained_on(docs))
-    return _keep(docs, found.where(F.col("lang_pred") != language_mixture.UNKNOWN))
+    """Drops rows without a language: null texts and texts without a letter."""
+    return language_mixture.with_language(docs, *language_mixture.trained_on(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts only the one with the largest doc_id stays."""
-    return _keep(docs, extendible_dedup.exact_groups(docs).where("kept"))
+    """Of equal texts only the row with the largest doc_id stays; of several such rows, one."""
+    placed = with_place(docs, PLACE)
+    return _kept(placed, extendible_dedup.exact_groups(placed, place=PLACE))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies only the one with the smallest doc_id stays."""
-    groups = simhash_balls.near_groups(docs)
-    return _keep(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of near copies only the row with the smallest doc_id stays; of several, one."""
+    placed = with_place(docs, PLACE)
+    return _kept(placed, simhash_balls.near_groups(placed, place=PLACE))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -303,10 +303,44 @@ def test_packing_round_trip(spark, texts):
 @given(st.text(max_size=50) | st.text("aB's .  \x1c\ńé<|endoftext|>", max_size=50))
 def test_words_equal_library(text):
     coder = concat_cut._coder(concat_cut.model_text())
-    ids = np.frombuffer(coder.encode([text])[0], "<u4").tolist()
+    ids = np.frombuffer(coder.encode(text), "<u4").tolist()
     assert ids == coder.library.encode(text, add_special_tokens=False).ids
 
 
+def test_every_character_twice():
+    """Each character alone and between letters, the second time from memory; small memories forget."""
+    coder = concat_cut.WordCoder(concat_cut.model_text())
+    characters = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    for _ in range(2):
+        for at in range(0, len(characters), 64):
+            text = " ".join(f"{c} a{c}B {c}{c}'S" for c in characters[at : at + 64])
+            ids = np.frombuffer(coder.encode(text), "<u4").tolist()
+            assert ids == coder.library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_without_ids(spark, monkeypatch):
+    """Lone no-break spaces and other blanks of the model, over several batches and rotations of the memory."""
+    monkeypatch.setattr(concat_cut, "PIECES_HELD", 8)
+    monkeypatch.setattr(concat_cut, "CUT_CHARS", 16)
+    coder = concat_cut.WordCoder(concat_cut.model_text())
+    texts = ["foo \xa0 bar", "\u3000", "a \u2028 b \x85 c", "x" * 200 + " \xa0 Straße ÉTÉ.", "日本 \u3000 語 foo " * 9] * 4
+    for text in texts:
+        ids = np.frombuffer(coder.encode(text), "<u4").tolist()
+        assert ids == coder.library.encode(text, add_special_tokens=False).ids
+    rows = spark.createDataFrame([(i, "foo \xa0 bar") for i in range(5000)], "doc_id long, text string").coalesce(1)
+    assert rows.count() == concat_cut.tokenise(rows, concat_cut.model_text()).where("n_tokens = 3").count()
+
+
+def test_slices_cover_a_batch():
+    import pyarrow as pa
+
+    from citemill.llm.common import slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 10, None, "b" * 30, "", "c" * 4, "d" * 50])], ["i", "t"])
+    assert [i for s in slices(batch, 1, 16) for i in s.column(0).to_pylist()] == list(range(6))
+    assert list(slices(batch.slice(0, 0), 1, 16)) == []
+
+
 # Sharding
 @pytest.mark.parametrize("dims,bits", [(2, 3), (3, 2), (3, 3)])
 def test_curve_visits_neighbours(dims, bits):

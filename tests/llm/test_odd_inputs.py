@@ -47,12 +47,43 @@ def test_stages_decide(spark, odd_docs):
     assert not kept & {0, 1, 2, 11, 13} and {3, 4, 5, 8, 9, 10, 12} <= kept
     kept = {r.doc_id for r in exact(spark, odd_docs, "").collect()}
     assert 6 in kept and not kept & {4, 5, None} and {1, 3, 7, 8} <= kept
+    # Equal texts leave one row, whatever their ids.
+    assert exact(spark, odd_docs, "").where("text is null or text = ''").count() == 1
     kept = [r.doc_id for r in near(spark, odd_docs, "").collect()]
     assert 4 in kept and not {5, 6} & set(kept)
     texts = {r.doc_id: r.text for r in secrets(spark, odd_docs, "").where("doc_id in (8, 10)").collect()}
     assert texts[10] == 'config: [secret]" and [secret] end' and texts[8].startswith("Été")
 
 
+def test_verdicts_are_on_rows(spark):
+    rows = [
+        (1, "alpha beta gamma delta epsilon"),
+        (1, "one two three four five six seven"),
+        (2, "one two three four five six seven"),
+        (3, None),
+        (3, "wort und noch ein wort dazu"),
+        (5, "the same text on two equal rows"),
+        (5, "the same text on two equal rows"),
+        (None, "a text that has no id at all"),
+        (None, "a text that has no id at all"),
+    ]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    ).repartition(3)
+    language, exact, near, secrets = (s for _, s in corpus_pipeline.STAGES[:-1])
+
+    def left(frame):
+        return sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+
+    assert left(language(spark, docs, "")) == sorted((r for r in rows if r[1]), key=str)
+    once = sorted([rows[0], rows[2], rows[3], rows[4], rows[5], rows[7]], key=str)
+    assert left(exact(spark, docs, "")) == once
+    assert left(near(spark, docs, "")) == sorted([rows[0], rows[1], rows[3], rows[4], rows[5], rows[7]], key=str)
+    for stage in (language, secrets):
+        plan = stage(spark, docs.limit(0).unionByName(spark.createDataFrame([], docs.schema)), "")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+
+
 def test_packing_covers_every_row(spark, odd_docs, no_docs):
     pieces = corpus_pipeline.packing(spark, odd_docs, "").collect()
     assert sum(p.length for p in pieces if p.doc_id == 0) == 1
