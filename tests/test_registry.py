@@ -26,8 +26,9 @@ def test_entry_gives_citations(spark):
 
 
 def test_contract():
+    core = load_all()
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert set(sql) < set(queries)
-    assert set(queries) - set(sql) == {
+    assert set(core) <= set(queries) and set(sql) < set(queries)
+    assert {name for name in core if name not in sql} == {
         "s1_scan_all", "s2_scan_directory", "t1_split_chunks", "t2_embed", "j4_knn_join_approx"
     }
