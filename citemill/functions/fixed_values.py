@@ -104,6 +104,7 @@ CACHE_EVICT = 100
 PDF_SUFFIX = ".pdf"
 PAYLOAD_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 STATUS_DEFERRED = "Scan deferred: Python AI engine is currently unreachable."
+STATUS_ERROR = "Error during scheduled scan: %s"
 STATUS_UP_TO_DATE = "Scan completed: Knowledge base is up to date (no new/modified PDFs)."
 STATUS_DONE = "Scan completed successfully: %d/%d documents synchronized."
 STATUS_MANUAL_ABORTED = "Manual scan aborted: Python AI engine is offline."

@@ -14,19 +14,23 @@ from citemill.operators.catalog import ingest_receipts
 from citemill.operators.chunking import clean_pages, number_chunks, split_pages
 from citemill.operators.vectors import Embedder, embed, hashed_word_embedder
 from citemill.session import scratch_path
-from citemill.sources.files import changed_files, is_valid_pdf, updated_manifest
+from citemill.sources.files import changed_files, is_valid_pdf
 from citemill.sources.store import ChunkStore
 
 
 @dataclass
 class ScanOutcome:
-    """What a scan did: receipts of the documents taken in, and the files that failed."""
+    """What a scan did: receipts of the documents taken in, and the files that failed.
+
+    ``version`` is the publish it made, None without one.
+    """
 
     dispatched: int
     synchronized: int
     status: str
     receipts: DataFrame | None = None
     failures: DataFrame | None = None
+    version: int | None = None
 
 
 def ingest_pages(
@@ -34,8 +38,8 @@ def ingest_pages(
     pages: DataFrame,
     version: int | None = None,
     embedder: Embedder = hashed_word_embedder,
-) -> tuple[DataFrame, DataFrame]:
-    """Split, number, embed and publish the pages; returns receipts and failures.
+) -> tuple[DataFrame, DataFrame, int]:
+    """Split, number, embed and publish the pages; returns receipts, failures and the version.
 
     Every document with a row in ``pages`` is replaced, also one without chunks.
     A row with an ``error`` stands for a file that could not be read: its
@@ -43,7 +47,8 @@ def ingest_pages(
 
     Split pages are staged in the shared folder first, so pages are read and
     split once. The carried sections, chunk numbers and receipts then need only
-    the staged table's slim columns.
+    the staged table's slim columns. Receipts count the rows this publish wrote, so
+    the cost is that of the pages, whatever the store holds.
     """
     if "error" not in pages.columns:
         pages = pages.withColumn("error", F.lit(None).cast("string"))
@@ -54,7 +59,7 @@ def ingest_pages(
     chunks = number_chunks(good.filter("page is not null"))
     version = store.publish(embed(chunks, embedder=embedder), good, version)
     failures = staged.filter("error is not null").select("document_name", "file_path", "error")
-    return ingest_receipts(good, store.read(version)), failures
+    return ingest_receipts(good, store.version_rows(version)), failures, version
 
 
 def scan_and_ingest(
@@ -64,6 +69,7 @@ def scan_and_ingest(
     force_all: bool = False,
     manual: bool = False,
     embedder: Embedder = hashed_word_embedder,
+    healthy: Callable[[], bool] = lambda: True,
 ) -> ScanOutcome:
     """One scan: valid files, the changed ones (or all), their pages, publish, manifest.
 
@@ -72,8 +78,12 @@ def scan_and_ingest(
     the publish, so files of a failed run are taken again by the next. A scan that
     is repeated after its manifest was written finds nothing changed, whoever
     started it, so manual and polled scans share a store.
+
+    Where ``healthy`` says that pages or vectors cannot be made now, nothing is
+    touched and the scan is deferred (aborted, if manual).
     """
-    version = store.manifest_version() + 1
+    if not healthy():
+        return ScanOutcome(0, 0, fixed.STATUS_MANUAL_ABORTED if manual else fixed.STATUS_DEFERRED)
     valid = files.filter(is_valid_pdf(F.col("absolute_path"), F.col("length")))
     chosen = valid if force_all else changed_files(valid, store.manifest())
     # The listing may differ when it is read again, so the choice is kept.
@@ -83,12 +93,12 @@ def scan_and_ingest(
     dispatched = chosen.count()
     if dispatched == 0:
         return ScanOutcome(0, 0, fixed.STATUS_MANUAL_DONE % (0, 0) if manual else fixed.STATUS_UP_TO_DATE)
-    receipts, failures = ingest_pages(store, read_pages(chosen), embedder=embedder)
+    receipts, failures, version = ingest_pages(store, read_pages(chosen), embedder=embedder)
     # Files that failed, or went missing meanwhile, are left for the next scan.
     taken = chosen.withColumn("document_name", base_name(F.col("absolute_path"))).join(
         receipts.select("document_name"), "document_name", "left_semi"
     )
-    store.write_manifest(updated_manifest(store.manifest(), taken), version)
-    synchronized = taken.count()
+    noted = store.write_manifest(taken)
+    synchronized = store.manifest_log.sizes([noted]).get(noted, 0)
     message = fixed.STATUS_MANUAL_DONE if manual else fixed.STATUS_DONE
-    return ScanOutcome(dispatched, synchronized, message % (synchronized, dispatched), receipts, failures)
+    return ScanOutcome(dispatched, synchronized, message % (synchronized, dispatched), receipts, failures, version)

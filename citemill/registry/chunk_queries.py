@@ -121,6 +121,25 @@ def _replacement(spark, folder):
     return existing, processed, fresh
 
 
+@register(
+    "s12_store_lookup",
+    given.with_ctes(
+        """SELECT chunk_id, document_name, page, section FROM chunks WHERE document_name = 'src5'
+           AND document_name NOT IN (SELECT document_name FROM incoming)
+           UNION ALL SELECT * FROM fresh WHERE document_name = 'src5'
+           UNION ALL SELECT chunk_id, document_name, page, section FROM chunks WHERE document_name IS NULL""",
+        given.DOCUMENT_CHUNKS, REPLACED_PARTS,
+    ),
+)
+def s12_store(spark, folder):
+    """One document, and the rows without a name, looked up in a store after a replacement."""
+    existing, processed, fresh = _replacement(spark, folder)
+    store = ChunkStore(spark, scratch_path(spark, "store"))
+    store.publish(existing, existing)
+    store.publish(fresh, processed)
+    return store.lookup("src5").unionByName(store.lookup(None)).drop("version")
+
+
 @register(
     "s10_replace_document",
     given.with_ctes(
@@ -138,18 +157,19 @@ def s10(spark, folder):
     "s10_versioned_publish",
     given.with_ctes(
         """SELECT chunk_id, document_name, page, section FROM chunks
-           WHERE document_name IS NOT NULL AND document_name NOT IN (SELECT document_name FROM incoming)
+           WHERE document_name IS NULL OR document_name NOT IN (SELECT document_name FROM incoming)
            UNION ALL SELECT * FROM fresh""",
         given.DOCUMENT_CHUNKS, REPLACED_PARTS,
     ),
 )
 def s10_versioned(spark, folder):
-    """The same replacement as two publishes to the versioned store."""
+    """The same replacement as two publishes to the versioned store, then compacted and vacuumed."""
     existing, processed, fresh = _replacement(spark, folder)
-    existing = existing.filter("document_name IS NOT NULL")
     store = ChunkStore(spark, scratch_path(spark, "store"))
     store.publish(existing, existing)
     store.publish(fresh, processed)
+    store.compact()
+    store.vacuum(0)
     return store.read().drop("version")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 
 from citemill.functions import fixed_values as fixed
 from citemill.functions.text import base_name
-from citemill.sources.paths import is_folder, qualified
+from citemill.session import scratch_path
+from citemill.sources.paths import glob_literal, has_match, is_folder, qualified, uri_form
 
+# Chosen paths that one plan holds.
+PATHS_AT_ONCE = 5000
 LISTING_SCHEMA = "absolute_path string, length bigint, modified_ms bigint"
 MANIFEST_SCHEMA = "absolute_path string, modified_ms bigint"
 PAYLOAD_SCHEMA = "fileName string, absolutePath string, fileSizeKb bigint, lastModified timestamp_ntz"
@@ -26,11 +30,11 @@ def list_folder(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Dat
     Only the listing columns are kept, so file contents are never read.
     Spark's own listing hides names that start with ``_`` or ``.``.
     """
-    if not is_folder(spark, folder):
+    files = _binary_files(spark, folder, pattern)
+    if files is None:
         return spark.createDataFrame([], LISTING_SCHEMA)
     return (
-        _binary_files(spark, folder, pattern)
-        .filter(F.regexp_replace("path", "/[^/]*$", "") == qualified(spark, folder))
+        files
         .select(
             _local_form(F.col("path")).alias("absolute_path"),
             "length",
@@ -39,10 +43,17 @@ def list_folder(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Dat
     )
 
 
-def _binary_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    # Recursive lookup keeps Spark from reading subfolders named a=b as partitions.
-    options = {"pathGlobFilter": pattern, "recursiveFileLookup": "true"}
-    return spark.read.format("binaryFile").options(**options).load(folder)
+def _binary_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame | None:
+    """The files of the folder itself; subfolders whose names do not match are not walked."""
+    if not is_folder(spark, folder):
+        return None
+    base = qualified(spark, folder)
+    names = f"{glob_literal(base)}/{pattern}"
+    if not has_match(spark, names):
+        return None
+    # Recursive lookup keeps Spark from reading a folder named a=b.pdf as a partition.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(names)
+    return files.filter(F.regexp_replace("path", "/[^/]*$", "") == base)
 
 
 def _local_form(path: Column) -> Column:
@@ -143,6 +154,44 @@ def pages_from_arrays(documents: DataFrame, pages: str = "pages") -> DataFrame:
     )
 
 
+def chosen_contents(
+    spark: SparkSession, payloads: DataFrame, folder: str, pattern: str = "*.pdf", at_once: int = PATHS_AT_ONCE
+) -> DataFrame:
+    """absolute_path, file_name and content of the files named in ``payloads``; missing ones give no row.
+
+    The paths go to the scan as a filter on the file's own path, by which Spark drops
+    all other files while it plans. So many paths fit in a plan; more of them go in
+    parts, each written to the shared folder before the next is planned, so that the
+    driver holds one part.
+    """
+    schema = "absolute_path string, file_name string, content binary"
+    files = _binary_files(spark, folder, pattern)
+    if files is None:
+        return spark.createDataFrame([], schema)
+    base = qualified(spark, folder)
+
+    def part(rows: list) -> DataFrame:
+        paths = [base + "/" + row.absolute_path.rsplit("/", 1)[-1] for row in rows]
+        named = files.filter(F.col("_metadata.file_path").isin([uri_form(spark, p) for p in paths]))
+        path = _local_form(F.col("path")).alias("absolute_path")
+        names = spark.createDataFrame([(r.absolute_path, r.file_name) for r in rows], "absolute_path string, file_name string")
+        return named.select(path, "content").join(names, "absolute_path").select("absolute_path", "file_name", "content")
+
+    rows = payloads.select("absolute_path", "file_name").distinct().toLocalIterator()
+    first = list(islice(rows, at_once))
+    if not first:
+        return spark.createDataFrame([], schema)
+    then = list(islice(rows, at_once))
+    if not then:
+        return part(first)
+    staged = scratch_path(spark, "chosen-contents")
+    part(first).write.mode("append").parquet(staged)
+    while then:
+        part(then).write.mode("append").parquet(staged)
+        then = list(islice(rows, at_once))
+    return spark.read.schema(schema).parquet(staged)
+
+
 def extract_pages(
     spark: SparkSession,
     payloads: DataFrame,
@@ -154,12 +203,10 @@ def extract_pages(
 
     The extractor turns one file's bytes into its page texts. A file without pages
     gives one row without a page, one it fails on such a row with an ``error``. Files stay on the
-    executors; only those named in ``payloads`` are handed to Python, in batches
-    that Spark bounds by bytes.
+    executors, which open those named in ``payloads`` and no others, and hand them to
+    Python in batches that Spark bounds by bytes.
     """
-    wanted = _binary_files(spark, folder, pattern).select(
-        _local_form(F.col("path")).alias("absolute_path"), "content"
-    ).join(payloads.select("absolute_path", "file_name"), "absolute_path")
+    wanted = chosen_contents(spark, payloads, folder, pattern)
 
     def read_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

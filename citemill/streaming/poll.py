@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from citemill.functions import fixed_values as fixed
 from citemill.operators.vectors import Embedder, hashed_word_embedder
 from citemill.plans.ingest import ScanOutcome, scan_and_ingest
 from citemill.sources.store import ChunkStore
@@ -32,14 +33,23 @@ def start_polling(
     trigger: dict | None = None,
     embedder: Embedder = hashed_word_embedder,
     on_scan: Callable[[int, ScanOutcome], None] | None = None,
+    healthy: Callable[[], bool] = lambda: True,
 ) -> StreamingQuery:
     """Start the polling query; ``on_scan`` is told each batch's number and outcome.
 
+    A scan that fails is told as an outcome whose status says why, and the next tick
+    tries again; so is one that ``healthy`` defers.
+
     The default trigger is every 60 seconds; ``{"availableNow": True}`` runs one tick.
     """
 
     def scan(_: DataFrame, batch: int) -> None:
-        outcome = scan_and_ingest(store, list_files(), read_pages, embedder=embedder)
+        try:
+            outcome = scan_and_ingest(store, list_files(), read_pages, embedder=embedder, healthy=healthy)
+        except Exception as problem:  # a tick that fails leaves the store as it was
+            if on_scan is None:
+                raise
+            outcome = ScanOutcome(0, 0, fixed.STATUS_ERROR % problem)
         if on_scan:
             on_scan(batch, outcome)
 

@@ -11,7 +11,7 @@ from citemill import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[8]")
+    session = build_session("tests", os.environ.get("TEST_MASTER", "local[8]"))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
