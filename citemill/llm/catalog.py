@@ -19,6 +19,9 @@ MODULES = (
     "simhash_balls",
     "concat_cut",
     "hilbert_shards",
+    "word_runs",
+    "hard_negatives",
+    "warc_chunks",
 )
 
 
