@@ -10,6 +10,7 @@ from citemill.registry import inputs as given
 from citemill.registry.catalog import register
 from citemill.session import scratch_path
 from citemill.sources import event_lines as ev
+from citemill.streaming.drain import arrive_in_parts, drained
 from citemill.streaming.fold import fold_events_stream
 
 CLEANED = r"""cleaned AS (
@@ -115,6 +116,7 @@ def s15(spark, folder):
     return ev.append_messages(history, new)
 
 
+END = "~end"
 FOLDED = """folded AS (
   SELECT request_id,
          coalesce(arg_max(full_answer, seq) FILTER (type = 'done'), string_agg(content, '' ORDER BY seq) FILTER (type = 'token')) AS answer,
@@ -138,22 +140,29 @@ def a5(spark, folder):
 @register(
     "st6_stream_fold",
     given.with_ctes(
-        "SELECT request_id, answer, token_count FROM folded WHERE finished",
+        "SELECT request_id, answer, token_count, finished FROM folded",
         given.ANSWERS, given.ANSWER_EVENTS, FOLDED,
     ),
 )
 def st6(spark, folder):
-    """The fold over a stream of event lines; emits finished requests."""
-    lines, out = scratch_path(spark, "event-lines"), scratch_path(spark, "folded")
-    ev.write_event_lines(given.answer_events(spark, folder), lines)
-    stream = ev.parse_event_lines(spark.readStream.option("maxFilesPerTrigger", 8).text(lines))
-    query = (
-        fold_events_stream(stream)
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", scratch_path(spark, "progress"))
-        .trigger(availableNow=True)
-        .start()
+    """The fold over a stream of event lines in three micro-batches.
+
+    An event happens ``seq`` milliseconds after its conversation's hour starts and
+    arrives up to ten minutes late, so many tokens come after their ``done``. A last
+    line moves the clock past all of them, also past the idle time of unfinished ones.
+    """
+    events = given.answer_events(spark, folder)
+    conversation = F.split("request_id", ":")[0].cast("bigint")
+    millis = F.lit(1_704_067_200_000) + conversation * 60_000 + F.col("seq")
+    delay = F.pmod(F.xxhash64("request_id", "seq", "type"), F.lit(600_000))
+    timed = events.withColumn("ts", F.timestamp_millis(millis)).withColumn("arrived", F.timestamp_millis(millis + delay))
+    as_line = F.to_json(F.struct(*events.columns, "ts")).alias("value")
+    lines = timed.select(as_line, "arrived")
+    last = timed.agg(F.max("ts").alias("ts")).select(
+        F.to_json(F.struct(F.lit(END).alias("request_id"), F.lit(0).alias("seq"), F.lit("token").alias("type"),
+                           F.expr("ts + interval 2 days").alias("ts"))).alias("value")
     )
-    query.awaitTermination()
-    return spark.read.parquet(out).select("request_id", "answer", "token_count")
+    stream = arrive_in_parts(lines, last, scratch_path(spark, "event-lines"), ["value"])
+    parsed = ev.parse_event_lines(stream, ev.TIMED_EVENT_TYPE)
+    folded = drained(fold_events_stream(parsed, lateness="15 minutes", idle_seconds=3600))
+    return folded.where(F.col("request_id") != END).select("request_id", "answer", "token_count", "finished")

@@ -11,9 +11,11 @@ from citemill.plans.questions import distinct_questions
 from citemill.registry import inputs as given
 from citemill.registry.catalog import register
 from citemill.session import scratch_path
+from citemill.streaming.drain import arrive_in_parts, drained
 from citemill.streaming.replay import replay_cache_stream
 
 LOG = (given.QUESTION_LOG,)
+END_KEY = "~end"
 
 
 def _keyed(spark, folder):
@@ -197,17 +199,21 @@ def st5(spark, folder):
     ),
 )
 def st3_stream(spark, folder):
-    """The replay over a stream of log files, with state per key."""
-    log, out = scratch_path(spark, "question-log"), scratch_path(spark, "replayed")
-    tagged = cache_generations(_keyed(spark, folder), given.ingests(spark, folder)).drop("query", "top_k", "value")
-    tagged.write.parquet(log)
-    query = (
-        replay_cache_stream(spark.readStream.schema(tagged.schema).parquet(log))
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", scratch_path(spark, "progress"))
-        .trigger(availableNow=True)
-        .start()
+    """The replay over a stream of log files, with state per key.
+
+    Rows arrive in three micro-batches, each up to an hour out of order, so that many
+    come after later ones. A last row moves the clock past all of them.
+    """
+    columns = ["cache_key", "generation", "event_id", "ts", "cacheable"]
+    tagged = cache_generations(_keyed(spark, folder), given.ingests(spark, folder)).select(
+        "cache_key", "generation", "event_id", F.col("ts").cast("timestamp").alias("ts"), "cacheable"
     )
-    query.awaitTermination()
-    return spark.read.parquet(out).select("event_id", "generation", "hit")
+    delay = F.pmod(F.xxhash64("event_id"), F.lit(3600))
+    arrived = tagged.withColumn("arrived", F.col("ts") + F.make_dt_interval(secs=delay))
+    last = tagged.agg(F.max("ts").alias("ts")).select(
+        F.lit(END_KEY).alias("cache_key"), F.lit(-1).cast("bigint").alias("generation"),
+        F.lit(-1).cast("bigint").alias("event_id"), F.expr("ts + interval 2 days").alias("ts"), F.lit(False).alias("cacheable"),
+    )
+    stream = arrive_in_parts(arrived, last, scratch_path(spark, "question-log"), columns)
+    rows = drained(replay_cache_stream(stream, lateness="2 hours"))
+    return rows.where(F.col("cache_key") != END_KEY).select("event_id", "generation", "hit")

@@ -15,6 +15,9 @@ EVENT_TYPE = (
     f"citations:array<{CITATION_TYPE}>,context_count:int>"
 )
 
+# With the time an event happened, which the streaming fold needs.
+TIMED_EVENT_TYPE = EVENT_TYPE[:-1] + ",ts:timestamp>"
+
 
 def event_lines(events: DataFrame) -> DataFrame:
     """One JSON object per event row."""
@@ -25,9 +28,9 @@ def write_event_lines(events: DataFrame, path: str) -> None:
     event_lines(events).write.mode("append").text(path)
 
 
-def parse_event_lines(lines: DataFrame) -> DataFrame:
+def parse_event_lines(lines: DataFrame, event_type: str = EVENT_TYPE) -> DataFrame:
     """Events of the lines that hold JSON; blank and broken lines are dropped."""
-    parsed = lines.filter(strip(F.col("value")) != "").select(F.from_json("value", EVENT_TYPE).alias("e"))
+    parsed = lines.filter(strip(F.col("value")) != "").select(F.from_json("value", event_type).alias("e"))
     return parsed.filter("e.type is not null").select("e.*")
 
 

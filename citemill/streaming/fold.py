@@ -1,7 +1,14 @@
-"""Answer events folded as they stream in; a request is emitted when it is done."""
+"""Answer events folded as they stream in.
+
+A request comes out when the watermark has passed its ``done`` event, so that events
+which arrived after it are counted too; one without a ``done`` comes out unfinished
+when it has been idle for a time. Either way its state goes. Events behind that come
+out as late counts, and no state is kept for them for longer than the idle time.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,56 +16,100 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-ANSWER_SCHEMA = "request_id string, answer string, token_count bigint, citations string"
+ANSWER_SCHEMA = (
+    "request_id string, answer string, token_count bigint, citations string, finished boolean, late_events bigint"
+)
 
 
 class AnswerFold(StatefulProcessor):
-    """Keeps a request's tokens by ``seq`` in a map, and its last citations.
+    """Per request: blocks of tokens, one per micro-batch, and what the other events said.
 
-    Tokens stay in the state store one by one, so a micro-batch writes only the
-    tokens it brought. ``done`` is a request's last event: it clears the state.
+    A block is appended and never read before the request comes out.
     """
 
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tokens = handle.getMapState("tokens", "seq bigint", "content string")
-        self.cited = handle.getValueState("cited", "seq bigint, citations string")
+        self.handle = handle
+        self.blocks = handle.getListState("blocks", "tokens string")
+        self.said = handle.getValueState(
+            "said", "done_seq bigint, answer string, cited_seq bigint, citations string, due_ms bigint, last_ms bigint"
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        done = None
-        for batch in rows:
-            for row in batch.itertuples(index=False):
-                if row.type == "token":
-                    self.tokens.updateValue((int(row.seq),), (row.content or "",))
-                elif row.type == "done" and (done is None or row.seq > done[0]):
-                    done = (int(row.seq), row.full_answer)
-                if row.type in ("citations", "done") and row.citations is not None:
-                    known = self.cited.get() if self.cited.exists() else None
-                    if known is None or row.seq > known[0]:
-                        self.cited.update((int(row.seq), row.citations))
-        if done is None:
+        passed = timerValues.getCurrentWatermarkInMs()
+        events = pd.concat(list(rows))
+        done_seq, answer, cited_seq, citations, due, last = self.said.get() if self.said.exists() else (None,) * 6
+        if last is None:
+            # A request that is not held and whose events all lie behind has come out before.
+            behind = events["ts_ms"] < passed
+            if behind.all():
+                yield self._row(key, None, 0, None, False, len(events))
+                return
+        tokens = events[events["type"] == "token"]
+        if len(tokens):
+            pairs = list(zip(tokens["seq"].tolist(), tokens["content"].where(tokens["content"].notna(), "").tolist()))
+            self.blocks.appendValue((json.dumps(pairs),))
+        answered = events[(events["type"] == "done") & events["full_answer"].notna()]
+        if len(answered):
+            newest = answered.loc[[answered["seq"].idxmax()]].iloc[-1] if answered.index.is_unique else answered.sort_values("seq").iloc[-1]
+            if done_seq is None or newest["seq"] > done_seq:
+                done_seq, answer = int(newest["seq"]), newest["full_answer"]
+        cited = events[events["type"].isin(["citations", "done"]) & events["citations"].notna()].sort_values("seq")
+        if len(cited) and (cited_seq is None or cited["seq"].iloc[-1] > cited_seq):
+            cited_seq, citations = int(cited["seq"].iloc[-1]), cited["citations"].iloc[-1]
+        ended = events.loc[events["type"] == "done", "ts_ms"]
+        if len(ended):
+            due = max(int(ended.max()), due or 0)
+        last = max(int(events["ts_ms"].max()), last or 0)
+        self.said.update((done_seq, answer, cited_seq, citations, due, last))
+        self.handle.registerTimer(max((due if due is not None else last + self.idle_ms) + 1, passed))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.said.exists():
+            return
+        passed = timerValues.getCurrentWatermarkInMs()
+        _, answer, _, citations, due, last = self.said.get()
+        # An earlier timer; the one of what came since is still to fire.
+        if (due if due is not None else last + self.idle_ms) >= passed:
             return
-        texts = sorted((seq[0], content[0]) for seq, content in self.tokens.iterator())
-        answer = done[1] if done[1] is not None else "".join(content for _, content in texts)
-        cited = self.cited.get()[1] if self.cited.exists() else None
-        self.tokens.clear()
-        self.cited.clear()
-        yield pd.DataFrame(
-            {"request_id": [key[0]], "answer": [answer], "token_count": [len(texts)], "citations": [cited]}
+        tokens = sorted(pair for block in self.blocks.get() for pair in json.loads(block[0]))
+        self.blocks.clear()
+        self.said.clear()
+        text = answer if answer is not None else "".join(content for _, content in tokens)
+        yield self._row(key, text, len(tokens), citations, due is not None, 0)
+
+    @staticmethod
+    def _row(key, answer, count, citations, finished, late) -> pd.DataFrame:
+        return pd.DataFrame(
+            {
+                "request_id": [key[0]],
+                "answer": pd.array([answer], dtype="string"),
+                "token_count": [count],
+                "citations": pd.array([citations], dtype="string"),
+                "finished": [finished],
+                "late_events": [late],
+            }
         )
 
     def close(self) -> None:
         pass
 
 
-def fold_events_stream(events: DataFrame) -> DataFrame:
+def fold_events_stream(events: DataFrame, lateness: str = "10 minutes", idle_seconds: int = 3600) -> DataFrame:
     """Streaming twin of the batch fold; citations leave as JSON text.
 
-    ``events``: request_id, seq, type, content, full_answer, citations. Unlike
-    the batch form it emits a request only once its ``done`` event was seen.
+    ``events``: request_id, seq, ts, type, content, full_answer, citations. A request
+    comes out once: finished, when the watermark has passed its ``done``, or not,
+    ``idle_seconds`` after its last event. Events that come after that are counted in
+    rows of their own, with null answers and ``late_events``.
     """
-    slim = events.select(
-        "request_id", "seq", "type", "content", "full_answer", F.to_json("citations").alias("citations")
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    slim = timed.select(
+        "request_id", "seq", F.unix_millis("ts").alias("ts_ms"), "type", "content", "full_answer",
+        F.to_json("citations").alias("citations"),
     )
     return slim.groupBy("request_id").transformWithStateInPandas(
-        AnswerFold(), ANSWER_SCHEMA, outputMode="Append", timeMode="None"
+        AnswerFold(idle_seconds * 1000), ANSWER_SCHEMA, outputMode="Append", timeMode="EventTime"
     )

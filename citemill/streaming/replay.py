@@ -1,9 +1,17 @@
-"""Cache replay as a stream: one anchor per key is all the state there is."""
+"""Cache replay as a stream: rows are put in order of time before they are labelled.
+
+Whether a row is a hit depends on all earlier rows of its key, and rows do not arrive
+in order. Each key keeps the rows that the watermark has not passed yet; a timer
+releases them, sorted, once it has, when nothing earlier is to come. Rows that arrive
+behind the watermark cannot be put in order any more: they come out unlabelled, marked
+``late``, and change no other row's label. None is dropped.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,14 +19,39 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from citemill.functions import fixed_values as fixed
 
-REPLAY_SCHEMA = "cache_key string, generation bigint, event_id bigint, ts_us bigint, hit boolean"
+REPLAY_SCHEMA = "cache_key string, generation bigint, event_id bigint, ts_us bigint, hit boolean, late boolean"
+PENDING_SCHEMA = "ts_us bigint, event_id bigint, cacheable boolean"
+
+
+def label_rows(times: np.ndarray, cacheable: np.ndarray, written: int | None, ttl_us: int) -> tuple[np.ndarray, int | None]:
+    """Hits of rows in order of time, and the time of the entry that is left.
+
+    One step per entry, not per row: from an entry on, all rows within its life are hits.
+    """
+    hits = np.zeros(len(times), bool)
+    at = 0
+    while at < len(times):
+        if written is not None:
+            end = int(np.searchsorted(times, written + ttl_us))
+            hits[at:end] = True
+            at = max(at, end)
+            written = written if at == len(times) else None
+            continue
+        later = np.flatnonzero(cacheable[at:])
+        if not len(later):
+            break
+        at += int(later[0])
+        written = int(times[at])
+        at += 1
+    return hits, written
 
 
 class CacheReplay(StatefulProcessor):
-    """Keeps the time of a key's live entry and labels rows as they arrive.
+    """Per key: the rows still ahead of the watermark, and the time of the live entry.
 
-    Rows of one micro-batch are put in time order; the source's rate limit
-    bounds them. A timer drops an entry one TTL after it was written.
+    Rows are appended as they arrive, so a micro-batch writes only what it brought.
+    What is held is bounded by the allowed lateness, and an entry goes one TTL after
+    it was written.
     """
 
     def __init__(self, ttl_us: int):
@@ -26,40 +59,60 @@ class CacheReplay(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.pending = handle.getListState("pending", PENDING_SCHEMA)
         self.entry = handle.getValueState("entry", "written_us bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
-        written = self.entry.get()[0] if self.entry.exists() else None
-        before = written
-        hits = []
-        for at, cacheable in zip(batch["ts_us"], batch["cacheable"]):
-            hit = written is not None and at - written < self.ttl_us
-            hits.append(hit)
-            if not hit:
-                written = int(at) if cacheable else None
-        if written != before:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if written is None:
-                self.entry.clear()
-            else:
-                self.entry.update((written,))
-                self.handle.registerTimer((written + self.ttl_us) // 1000 + 1)
-        yield pd.DataFrame(
+    def _rows(self, key, rows: pd.DataFrame, hits, late: bool) -> pd.DataFrame:
+        return pd.DataFrame(
             {
                 "cache_key": key[0],
                 "generation": key[1],
-                "event_id": batch["event_id"],
-                "ts_us": batch["ts_us"],
-                "hit": hits,
+                "event_id": rows["event_id"].to_numpy(),
+                "ts_us": rows["ts_us"].to_numpy(),
+                "hit": pd.array(hits, dtype="boolean"),
+                "late": late,
             }
         )
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        first = None
+        for batch in rows:
+            behind = batch["ts_us"] < passed_us
+            if behind.any():
+                late = batch[behind]
+                yield self._rows(key, late, [None] * len(late), True)
+            ahead = batch[~behind]
+            if len(ahead):
+                kept = zip(ahead["ts_us"].tolist(), ahead["event_id"].tolist(), ahead["cacheable"].tolist())
+                self.pending.appendList(list(kept))
+                least = int(ahead["ts_us"].min())
+                first = least if first is None else min(first, least)
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.entry.exists() and self.entry.get()[0] + self.ttl_us <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        held = pd.DataFrame(list(self.pending.get()), columns=["ts_us", "event_id", "cacheable"])
+        written = self.entry.get()[0] if self.entry.exists() else None
+        due = held[held["ts_us"] < passed_us].sort_values(["ts_us", "event_id"])
+        if len(due):
+            rest = held[held["ts_us"] >= passed_us]
+            if len(rest):
+                self.pending.put(list(zip(rest["ts_us"].tolist(), rest["event_id"].tolist(), rest["cacheable"].tolist())))
+                self.handle.registerTimer(int(rest["ts_us"].min()) // 1000 + 1)
+            else:
+                self.pending.clear()
+            hits, now = label_rows(due["ts_us"].to_numpy(), due["cacheable"].to_numpy(bool), written, self.ttl_us)
+            if now is not None and now != written:
+                self.entry.update((now,))
+                self.handle.registerTimer((now + self.ttl_us) // 1000 + 1)
+            elif now is None and written is not None:
+                self.entry.clear()
+            written = now
+            yield self._rows(key, due, hits, False)
+        if written is not None and written + self.ttl_us <= passed_us:
             self.entry.clear()
-        yield from ()
 
     def close(self) -> None:
         pass
@@ -68,18 +121,15 @@ class CacheReplay(StatefulProcessor):
 def replay_cache_stream(
     log: DataFrame, ttl_seconds: int = fixed.CACHE_TTL_SECONDS, lateness: str = "1 hour"
 ) -> DataFrame:
-    """Streaming twin of the batch replay.
+    """Streaming twin of the batch replay; rows come out once the watermark has passed them.
 
-    ``log``: cache_key, generation, event_id, ts, cacheable. The watermark is
-    there only so that state is dropped once an entry has run out.
+    ``log``: cache_key, generation, event_id, ts, cacheable. Rows up to ``lateness``
+    behind the newest are put in order; later ones come out with ``late`` true and
+    ``hit`` null.
     """
-    timed = log.withColumn("ts", F.col("ts").cast("timestamp")).select(
-        "cache_key", "generation", "event_id", "ts", F.unix_micros("ts").alias("ts_us"), "cacheable"
-    )
-    return (
-        timed.withWatermark("ts", lateness)
-        .groupBy("cache_key", "generation")
-        .transformWithStateInPandas(
-            CacheReplay(ttl_seconds * 1_000_000), REPLAY_SCHEMA, outputMode="Append", timeMode="EventTime"
-        )
+    timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    # Without the time column itself Spark drops no late row before it gets to the processor.
+    slim = timed.select("cache_key", "generation", "event_id", F.unix_micros("ts").alias("ts_us"), "cacheable")
+    return slim.groupBy("cache_key", "generation").transformWithStateInPandas(
+        CacheReplay(ttl_seconds * 1_000_000), REPLAY_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
