@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,15 @@ _BLANKS = re.compile(f"[{BLANKS}]+")
 TOKEN_SCHEMA = "doc_id long, part int, place long, n_tokens long, ids binary"
 
 
+# The letters that stand for bytes in byte-level models: printable ones for themselves, then those from U+0100 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)) - _PRINTABLE))}
+
+
+def _ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordCoder:
     """The tokenizer with a bounded memory of the pieces that texts are made of.
 
@@ -63,6 +73,7 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(model)
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cuts_latin = self._has_word_pattern(model)
         # Pieces seen lately; when they are too many they become the older ones.
@@ -75,17 +86,18 @@ class WordCoder:
         read = json.loads(model)
         parts = lambda step, name: (step or {}).get(name) or [step or {}]
         normal = [n.get("type") for n in parts(read.get("normalizer"), "normalizers")]
-        split = parts(read.get("pre_tokenizer"), "pretokenizers")[0]
+        steps = parts(read.get("pre_tokenizer"), "pretokenizers")
+        split, last = steps[0], steps[-1]
         return (
             normal == ["NFC", "Replace", "Lowercase"]
             and split.get("type") == "Split"
             and split.get("pattern") == {"Regex": SPLIT}
             and split.get("behavior") == "Removed"
+            and [s.get("type") for s in steps[1:]] == ["ByteLevel"]
+            and not last.get("add_prefix_space")
+            and not last.get("use_regex")
         )
 
-    def _packed(self, encoding) -> bytes:
-        return np.array(encoding.ids, "<u4").tobytes()
-
     def _pieces(self, text: str) -> list[bytes | str]:
         if self.cuts_latin:
             try:
@@ -107,14 +119,22 @@ class WordCoder:
         new = pieces.difference(self.known)
         self.known.update((piece, self.older[piece]) for piece in new if piece in self.older)
         new = list(new.difference(self.older))
-        self.known.update(zip(new, self._library_codes(new)))
+        cut = [piece for piece in new if isinstance(piece, bytes)]
+        self.known.update(zip(cut, map(self._model_code, cut)))
+        whole = [piece for piece in new if isinstance(piece, str)]
+        self.known.update(zip(whole, self._library_codes(whole)))
         return [piece for piece in new if len(piece) > PIECE_CHARS_HELD]
 
-    def _library_codes(self, pieces: list[bytes | str]) -> list[bytes]:
-        """Ids of each piece from one call: they go joined by a special string, and the ids are cut at its id."""
-        texts = [p.decode("latin-1") if isinstance(p, bytes) else p for p in pieces]
+    def _model_code(self, piece: bytes) -> bytes:
+        """Ids of a piece that is normalised and cut already: straight from the library's model."""
+        if not piece.isalnum():  # of bytes: other than ASCII letters and digits
+            piece = piece.decode("latin-1").encode().decode("latin-1").translate(_BYTE_LETTERS).encode()
+        return _ids([token.id for token in self.model.tokenize(piece.decode())])
+
+    def _library_codes(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text from one call: they go joined by a special string, and the ids are cut at its id."""
         if not self.special or len(texts) < 2:
-            return [self._packed(self.library.encode(text, add_special_tokens=False)) for text in texts]
+            return [_ids(self.library.encode(text, add_special_tokens=False).ids) for text in texts]
         mark = self.special[0]
         joined = self.library.encode_batch_fast([mark.join(texts)], add_special_tokens=False)[0]
         ids = np.array(joined.ids, "<u4")
@@ -138,7 +158,7 @@ class WordCoder:
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if any(mark in text for mark in self.special):
-            return self._packed(self.library.encode(text, add_special_tokens=False))
+            return _ids(self.library.encode(text, add_special_tokens=False).ids)
         if len(text) <= CUT_CHARS:
             return self._cut_codes(text)
         found, at = [], 0

@@ -112,7 +112,7 @@ def fit_codebooks(rows: DataFrame, n_rows: int) -> tuple[np.ndarray, np.ndarray]
     share = min(1.0, SAMPLE_ROWS / max(1, n_rows))
     chosen = F.pmod(F.xxhash64("dealt", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))
     sample = [r.vector for r in rows.where(chosen).orderBy("dealt", "at").select("vector").collect()]
-    points = np.array(sample, np.float64).reshape(len(sample), -1)
+    points = np.array(sample, np.float64) if sample else np.zeros((0, 2))
     half = points.shape[1] // 2
     return fit_codebook(points[:, :half]), fit_codebook(points[:, half:])
 
