@@ -2,27 +2,32 @@
 
 Two first-order models give the probability of a character after another: one for
 random strings, trained on what the patterns caught, one for ordinary identifiers,
-trained on words of a bounded sample of documents. A candidate is a run of at least
-20 token characters with a digit; it is a secret where the mean log-likelihood ratio
-of its transitions exceeds a threshold and no pattern has caught it already.
+trained on words of a bounded sample of documents and on words joined to longer names.
+Both are mixed with equal chances, by a share that does not depend on the counts, so
+they behave alike at every size. A candidate is a run of at least 20 token characters;
+it is a secret where the mean log-likelihood ratio of its transitions exceeds a
+threshold, which is fitted on labelled strings that the models compared for it have
+not seen. UUIDs, which name things, are none. A secret that holds a known form is a
+span of its own; only one that lies within a known form adds nothing.
 
 Only column functions. Spans are in code points, end exclusive. Each pattern splits
 the text; the lengths of the pieces and of the matches add up to places. Sums run
 in blocks, so a text with very many matches costs little more than its length.
 
 Null text counts as empty and has no spans. Repeated rows give repeated results.
-On an empty table the models are uniform.
+On an empty table the models say nothing.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citemill.llm.catalog import register
-from citemill.llm.common import table, texts
+from citemill.llm.common import staged, table, texts
 
 # The patterns of the known forms, in the order of their kinds.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
@@ -36,9 +41,17 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 # Documents, in expectation, whose words train the identifier model.
 TRAIN_DOCUMENTS = 1000
-RANDOM_PRIOR = 1.0
-IDENTIFIER_PRIOR = 0.05
-THRESHOLD = 0.8
+# Share of equal chances in each model, and the threshold's place: the least at which so few
+# identifiers are called random, moved by a part of the way to where random strings begin.
+RANDOM_MIX = 0.5
+IDENTIFIER_MIX = 0.005
+FALSE_SHARE = 0.001
+MISSED_SHARE = 0.01
+MARGIN = 0.5
+SCORE_STEPS = 20
+THRESHOLD = 1.0  # without labelled strings of both kinds
+# Fixed value: the form of a UUID.
+UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 SUM_BLOCK = 512
 
 
@@ -115,12 +128,21 @@ def _code(character: Column) -> Column:
     return F.instr(F.lit(ALPHABET), character)
 
 
-def train(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> list[float]:
-    """Log-likelihood ratio of each transition, row by row of the alphabet.
+@dataclass(frozen=True)
+class Model:
+    """Log-likelihood ratio of each transition, row by row of the alphabet, and the threshold of their mean."""
 
-    Labels: values that the patterns caught, in all documents, are random strings;
-    words of a hashed sample of about ``documents`` documents are identifiers. The
-    counts that reach the driver are at most two per pair of alphabet characters.
+    ratios: list[float]
+    threshold: float
+
+
+def labelled_strings(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> DataFrame:
+    """random, s, fold (0 or 1): strings known to be random or ordinary.
+
+    Values that the patterns caught, in all documents, are random. Words of a hashed
+    sample of about ``documents`` documents are ordinary, and so are runs of four words
+    there, put together as names are: with marks between them, in capitals, with dates.
+    Equal strings are in one fold.
     """
     rows = docs.select("doc_id", texts(F.col("text")).alias("text"))
     share = min(1.0, documents / max(1, rows.count()))
@@ -132,36 +154,95 @@ def train(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> list[float]:
     caught = F.concat("assign", "access", "hex")
     no_secrets = F.regexp_replace(F.regexp_replace("t", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     words = F.regexp_extract_all(no_secrets, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))
+
+    def names(w: Column) -> Column:
+        starts = F.when(F.size(w) >= 4, F.sequence(F.lit(1), F.size(w) - 3, F.lit(4))).otherwise(F.array().cast("array<int>"))
+
+        def name(i: Column) -> Column:
+            parts = F.slice(w, i, F.lit(4))
+            day = F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.pmod(F.xxhash64(F.get(w, i)), F.lit(9999)).cast("int")), "yyyy-MM-dd")
+            forms = (
+                F.array_join(parts, "_"),
+                F.array_join(parts, "-"),
+                F.array_join(parts, "/"),
+                F.array_join(F.transform(parts, F.initcap), ""),
+                F.upper(F.array_join(parts, "_")),
+                F.concat_ws("-", day, parts),
+                F.concat_ws("_", parts, F.replace(day, F.lit("-"))),
+            )
+            kind, chosen_form = F.pmod(F.floor(i / 4), F.lit(len(forms))), None
+            for number, form in enumerate(forms):
+                chosen_form = F.when(kind == number, form) if chosen_form is None else chosen_form.when(kind == number, form)
+            return chosen_form
+
+        return F.transform(starts, name)
+
+    ordinary = F.when(chosen, words).otherwise(F.array().cast("array<string>"))
+    both = F.transform(F.array(ordinary), lambda w: F.concat(w, names(w)))[0]
     strings = spans.select(
         F.explode(
             F.concat(
                 F.transform(caught, lambda m: F.struct(F.lit(True).alias("random"), m["value"].alias("s"))),
-                F.transform(
-                    F.when(chosen, words).otherwise(F.array().cast("array<string>")),
-                    lambda w: F.struct(F.lit(False).alias("random"), w.alias("s")),
-                ),
+                F.transform(both, lambda w: F.struct(F.lit(False).alias("random"), w.alias("s"))),
             )
         ).alias("x")
     ).select("x.*").where(F.length("s") > 1)
+    return strings.withColumn("fold", F.pmod(F.xxhash64("s", F.lit("fold")), F.lit(2)).cast("int"))
+
+
+def ratios_of(counts: dict[tuple[bool, str], int]) -> list[float]:
+    """Log-likelihood ratios from the transitions counted in random and ordinary strings."""
+    size, found = len(ALPHABET), []
+    for a in ALPHABET:
+        logs = []
+        for random, mix in ((True, RANDOM_MIX), (False, IDENTIFIER_MIX)):
+            row = [counts.get((random, a + b), 0) for b in ALPHABET]
+            total = sum(row)
+            logs.append([math.log(mix / size + (1 - mix) * (n / total if total else 1 / size)) for n in row])
+        found += [r - i for r, i in zip(*logs)]
+    return found
+
+
+def fitted_threshold(scores: dict[tuple[bool, int], int]) -> float:
+    """The threshold from counts of scores, in steps, of random and ordinary strings."""
+    steps = sorted({step for _, step in scores})
+    total = {random: sum(n for (r, _), n in scores.items() if r is random) for random in (True, False)}
+    if not all(total.values()):
+        return THRESHOLD
+
+    def share(random: bool, step: int, above: bool) -> float:
+        return sum(n for (r, s), n in scores.items() if r is random and (s >= step) is above) / total[random]
+
+    tried = range(steps[0], steps[-1] + 2)
+    low = next(t for t in tried if share(False, t, True) <= FALSE_SHARE)
+    high = max((t for t in tried if share(True, t, False) <= MISSED_SHARE), default=low)
+    return (low + MARGIN * max(0, high - low)) / SCORE_STEPS
+
+
+def train(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Model:
+    """The models of the labelled strings, and the threshold fitted on strings held out of them.
+
+    What reaches the driver are counts: at most four per pair of alphabet characters,
+    and two per step of the score.
+    """
+    strings = staged(labelled_strings(docs, documents), "labelled-strings")
     pairs = strings.select(
-        "random", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, 2))).alias("pair")
+        "random", "fold",
+        F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, 2))).alias("pair"),
     )
-    counted = pairs.groupBy("random", "pair").agg(F.count("*").alias("n"))
-    kept = counted.where(
+    counted = pairs.groupBy("random", "fold", "pair").agg(F.count("*").alias("n")).where(
         (_code(F.substring("pair", 1, 1)) > 0) & (_code(F.substring("pair", 2, 1)) > 0)
     )
-    counts = {(r.random, r.pair): r.n for r in kept.collect()}
-    ratios = []
-    for a in ALPHABET:
-        row = {
-            random: ([counts.get((random, a + b), 0) + prior for b in ALPHABET])
-            for random, prior in ((True, RANDOM_PRIOR), (False, IDENTIFIER_PRIOR))
-        }
-        logs = {random: math.log(sum(values)) for random, values in row.items()}
-        ratios += [
-            math.log(r) - logs[True] - math.log(i) + logs[False] for r, i in zip(row[True], row[False])
-        ]
-    return ratios
+    first: dict[tuple[bool, str], int] = {}
+    every: dict[tuple[bool, str], int] = {}
+    for r in counted.collect():
+        every[r.random, r.pair] = every.get((r.random, r.pair), 0) + r.n
+        if r.fold == 0:
+            first[r.random, r.pair] = r.n
+    held_out = strings.where((F.col("fold") == 1) & F.col("s").rlike(f"^{CANDIDATE}$"))
+    step = F.floor(likelihood_ratio(F.col("s"), ratios_of(first)) * SCORE_STEPS).cast("int")
+    scores = {(r.random, r.step): r.n for r in held_out.groupBy("random", step.alias("step")).agg(F.count("*").alias("n")).collect()}
+    return Model(ratios_of(every), fitted_threshold(scores))
 
 
 def likelihood_ratio(token: Column, ratios: list[float]) -> Column:
@@ -177,25 +258,24 @@ def likelihood_ratio(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(places, F.lit(0.0), step) / (F.length(token) - 1)
 
 
-def is_random(token: Column, ratios: list[float], threshold: float = THRESHOLD) -> Column:
-    """A candidate that no pattern has caught and the models call random."""
-    return (
-        token.rlike("[0-9]")
-        & ~token.rlike(f"{ACCESS}|{HEX}")
-        & (likelihood_ratio(token, ratios) > threshold)
-    )
+def is_random(token: Column, model: Model) -> Column:
+    """Whether the models call a candidate random."""
+    return ~token.rlike(f"^{UUID}$") & (likelihood_ratio(token, model.ratios) > model.threshold)
 
 
-def scan(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, text ``t`` and the arrays assign, access, hex and markov of (start, end, value)."""
 
-    def outside(m: Column) -> Column:
-        return ~F.exists("assign", lambda a: (a["start"] < m["end"]) & (m["start"] < a["end"]))
+    def adds(m: Column) -> Column:
+        """Not within a span that is there already."""
+        return ~F.exists(
+            F.concat("assign", "access", "hex"), lambda a: (a["start"] <= m["start"]) & (m["end"] <= a["end"])
+        )
 
     spans = base_spans(docs).withColumn(
-        "likely", F.filter(matches(F.col("t"), CANDIDATE), lambda m: is_random(m["value"], ratios, threshold))
+        "likely", F.filter(matches(F.col("t"), CANDIDATE), lambda m: is_random(m["value"], model))
     )
-    return spans.withColumn("markov", F.filter("likely", outside)).drop("likely")
+    return spans.withColumn("markov", F.filter("likely", adds)).drop("likely")
 
 
 def listed(kinds: tuple[str, ...]) -> Column:
@@ -220,11 +300,12 @@ def listed(kinds: tuple[str, ...]) -> Column:
     )
 
 
-def redact(docs: DataFrame, ratios: list[float], mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, model: Model, mark: str = "[secret]") -> DataFrame:
     """The same rows and columns with every secret replaced; clean texts stay as they are.
 
-    Assignments go first, then the other patterns, then what the models find in the
-    rest. ``n_chars`` follows where the text changed.
+    Assignments go first, then whole candidates that the models call random, so that
+    nothing of a secret around a known form is left, then the other patterns.
+    ``n_chars`` follows where the text changed.
     """
 
     def replaced(text: Column, pattern: str, group: int, is_secret) -> Column:
@@ -246,8 +327,8 @@ def redact(docs: DataFrame, ratios: list[float], mark: str = "[secret]") -> Data
     steps = (
         docs.select(F.struct("*").alias("row"), F.col("text").alias("t"))
         .withColumn("t", replaced(t, ASSIGN, 2, lambda v: F.length(v) >= ASSIGN_VALUE_MIN))
+        .withColumn("t", replaced(t, CANDIDATE, 0, lambda v: is_random(v, model)))
         .withColumn("t", F.regexp_replace(t, f"{ACCESS}|{HEX}", F.lit(mark)))
-        .withColumn("t", replaced(t, CANDIDATE, 0, lambda v: is_random(v, ratios)))
     )
     changed = {
         "text": t,
