@@ -1,8 +1,10 @@
-from test_cache_replay import random_log, replay
+from datetime import timedelta
+
+from test_cache_replay import START, random_log, replay
 
 from citemill.operators.answer_log import fold_events
 from citemill.sources import files as fs
-from citemill.sources.event_lines import EVENT_TYPE
+from citemill.sources.event_lines import EVENT_TYPE, TIMED_EVENT_TYPE
 from citemill.sources.store import ChunkStore
 from citemill.streaming.fold import fold_events_stream
 from citemill.streaming.poll import start_polling
@@ -23,12 +25,12 @@ def test_replay_over_several_batches(spark, tmp_path):
     log = sorted(random_log(9, 400, 5, 40, 30), key=lambda r: (r[1], r[0]))
     schema = "event_id bigint, ts timestamp_ntz, cache_key string, cacheable boolean, generation bigint"
     source, out, progress = (str(tmp_path / name) for name in ("log", "out", "progress"))
-    for start in range(0, len(log), 150):
-        part = [(*row, 0) for row in log[start:start + 150]]
+    parts = [[(*row, 0) for row in log[start:start + 150]] for start in range(0, len(log), 150)]
+    for part in [*parts, [(-1, START + timedelta(days=30), "~end", False, 0)]]:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
         # Each run goes on from the state the last one left.
         drain(replay_cache_stream(spark.readStream.schema(schema).parquet(source)), out, progress)
-    found = {r.event_id: r.hit for r in spark.read.parquet(out).collect()}
+    found = {r.event_id: r.hit for r in spark.read.parquet(out).where("event_id >= 0").collect()}
     assert found == replay(log)[0]
 
 
@@ -54,13 +56,16 @@ def test_fold_events(spark):
 
 def test_fold_stream_over_several_batches(spark, tmp_path):
     source, out, progress = (str(tmp_path / name) for name in ("events", "out", "progress"))
-    rows = events()
-    schema = spark.createDataFrame([], EVENTS).schema
-    for part in (rows[20:30], rows[:20] + rows[41:44], rows[30:41] + rows[44:]):
-        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(source)
+    rows = [(*row, START + timedelta(seconds=row[1])) for row in events()]
+    timed = TIMED_EVENT_TYPE.removeprefix("struct<").removesuffix(">")
+    schema = spark.createDataFrame([], timed).schema
+    end = [("~end", 0, "done", None, None, None, None, START + timedelta(days=1))]
+    for part in (rows[20:30], rows[:20] + rows[41:44], rows[30:41] + rows[44:], end):
+        spark.createDataFrame(part, timed).coalesce(1).write.mode("append").parquet(source)
         drain(fold_events_stream(spark.readStream.schema(schema).parquet(source)), out, progress)
-    found = {r.request_id: (r.answer, r.token_count) for r in spark.read.parquet(out).collect()}
-    assert found == {"r1": ("final", 39), "r3": ("c", 1)}
+    found = {r.request_id: (r.answer, r.token_count, r.finished) for r in spark.read.parquet(out).collect()}
+    found.pop("~end", None)
+    assert found == {"r1": ("final", 39, True), "r2": ("ab", 2, False), "r3": ("c", 1, True)}
 
 
 def test_polling_takes_new_and_changed_files_once(spark, tmp_path):
