@@ -35,6 +35,27 @@ def hashed_word_embedder(
     return vectors.withColumn(out, vector_to_array("__unit", "float32")).drop("__words", "__counts", "__unit")
 
 
+def table_embedder(vectors: DataFrame, key: str, vector: str = "embedding") -> Embedder:
+    """An embedder that looks vectors up in a table by the rows' ``key`` column.
+
+    Rows without a vector keep a null one; ``missing_vectors`` reports them. Of several
+    vectors for one key the greatest counts, so no row is doubled. No broadcast: the
+    table grows with the rows.
+    """
+    supplied = vectors.groupBy(F.col(key).alias("__key")).agg(F.max(vector).alias("__vector"))
+
+    def look_up(rows: DataFrame, text: str, out: str) -> DataFrame:
+        found = rows.join(supplied, F.col(key) == F.col("__key"), "left")
+        return found.withColumn(out, F.col("__vector")).drop("__key", "__vector")
+
+    return look_up
+
+
+def missing_vectors(embedded: DataFrame, by: list[str], out: str = "embedding") -> DataFrame:
+    """Rows and rows without a vector, per group: what a supplied table does not cover."""
+    return embedded.groupBy(*by).agg(F.count("*").alias("n_rows"), F.count_if(F.col(out).isNull()).alias("n_missing"))
+
+
 def embed(
     rows: DataFrame, text: str = "text", out: str = "embedding", embedder: Embedder = hashed_word_embedder
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from citemill.operators import catalog as cat
 from citemill.operators.chunking import chunk_pages, clean_pages, split_chunks
-from citemill.operators.vectors import embed
+from citemill.operators.vectors import embed, missing_vectors, table_embedder
 from citemill.registry import inputs as given
 from citemill.registry.catalog import register
 from citemill.session import scratch_path
@@ -225,6 +225,34 @@ def a3(spark, folder):
     return cat.ingest_receipts(pages, chunk_pages(pages))
 
 
+@register(
+    "t2_embed_from_table",
+    """SELECT doc_id, place, CAST(list_extract(embedding, place) AS FLOAT) AS value FROM (
+         SELECT doc_id, embedding, unnest(range(1, len(embedding) + 1)) AS place
+         FROM documents JOIN embeddings ON vec_id = doc_id)
+       UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""",
+)
+def t2_table(spark, folder):
+    """Vectors supplied as a table, value by value; a document without one has one row of nulls."""
+    vectors = given.table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    documents = given.table(spark, folder, "documents").select("doc_id", "text")
+    embedded = embed(documents, embedder=table_embedder(vectors, "doc_id"))
+    return embedded.select("doc_id", F.posexplode_outer("embedding").alias("at", "value")).select(
+        "doc_id", (F.col("at") + 1).cast("bigint").alias("place"), "value"
+    )
+
+
+@register(
+    "t2_missing_vectors",
+    """SELECT source, count(*) AS n_rows, count(*) FILTER (vec_id IS NULL) AS n_missing
+       FROM documents LEFT JOIN embeddings ON vec_id = doc_id GROUP BY source""",
+)
+def t2_missing(spark, folder):
+    vectors = given.table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    documents = given.table(spark, folder, "documents").select("doc_id", "source", "text")
+    return missing_vectors(embed(documents, embedder=table_embedder(vectors, "doc_id")), ["source"])
+
+
 @register("t2_embed")
 def t2(spark, folder):
     """Hashed word vectors of whole texts: non-zero entries and length of each vector."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from citemill.operators.running import running_values
@@ -29,20 +31,45 @@ def _valid(spark, folder):
     return listing.filter(fs.is_valid_pdf(F.col("absolute_path"), F.col("length")))
 
 
-@register("s1_scan_all")
+def _table_rows(spark, folder):
+    """File name and row count of every given table."""
+    counts = [
+        given.table(spark, folder, name).agg(F.count("*").alias("n_rows")).withColumn("file_name", F.lit(f"{name}.parquet"))
+        for name in TABLES
+    ]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+TABLE_ROWS = " UNION ALL ".join(f"SELECT '{name}.parquet' AS file_name, count(*) AS n_rows FROM {name}" for name in TABLES)
+
+
+@register("s1_scan_all", f"SELECT file_name, true AS has_bytes, n_rows FROM ({TABLE_ROWS})")
 def s1(spark, folder):
-    """The listing of the given folder itself; file contents are not read."""
+    """The listing of the given folder itself, with the rows that each file turns out to hold."""
     prepare_session(spark)
-    return fs.list_folder(spark, folder, "*.parquet").select(
-        fs.base_name(F.col("absolute_path")).alias("file_name"), "length"
+    listing = fs.list_folder(spark, folder, "*.parquet").select(
+        fs.base_name(F.col("absolute_path")).alias("file_name"), (F.col("length") > 0).alias("has_bytes")
     )
+    return listing.join(_table_rows(spark, folder), "file_name")
 
 
-@register("s2_scan_directory")
+@register(
+    "s2_scan_directory",
+    f"SELECT file_name, '/' || file_name AS path_end, true AS has_size, n_rows FROM ({TABLE_ROWS}) WHERE file_name LIKE '%s.parquet'",
+)
 def s2(spark, folder):
+    """Payloads of the files of a given folder that a pattern names."""
     prepare_session(spark)
-    payloads = fs.scan_folder(spark, folder, "*.parquet", suffix=".parquet")
-    return payloads.select("file_name", "file_size_kb")
+    payloads = fs.scan_folder(spark, folder, "*s.parquet", suffix=".parquet")
+    return payloads.join(_table_rows(spark, folder), "file_name").select(
+        "file_name",
+        F.regexp_extract("absolute_path", "/[^/]*$", 0).alias("path_end"),
+        ((F.col("file_size_kb") >= 1) & F.col("last_modified").isNotNull()).alias("has_size"),
+        "n_rows",
+    )
 
 
 @register(

@@ -25,6 +25,36 @@ def tick_stream(spark: SparkSession) -> DataFrame:
     return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
 
 
+def start_watching(
+    store: ChunkStore,
+    changes: DataFrame,
+    read_pages: Callable[[DataFrame], DataFrame],
+    checkpoint: str,
+    trigger: dict | None = None,
+    embedder: Embedder = hashed_word_embedder,
+    on_scan: Callable[[int, ScanOutcome], None] | None = None,
+) -> StreamingQuery:
+    """Take in a stream of changed files, such as ``folder_stream.stream_listing``.
+
+    A micro-batch holds the files that changed and no others, and those that the store's
+    manifest knows as they are, after a restart, are left out. A scan that fails stops
+    the query, and the next start gets the same files again; files that could not be
+    read come again when they change.
+    """
+
+    def scan(listing: DataFrame, batch: int) -> None:
+        outcome = scan_and_ingest(store, listing, read_pages, embedder=embedder)
+        if on_scan:
+            on_scan(batch, outcome)
+
+    return (
+        changes.writeStream.foreachBatch(scan)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "60 seconds"}))
+        .start()
+    )
+
+
 def start_polling(
     store: ChunkStore,
     list_files: Callable[[], DataFrame],

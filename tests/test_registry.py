@@ -30,5 +30,5 @@ def test_contract():
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(core) <= set(queries) and set(sql) < set(queries)
     assert {name for name in core if name not in sql} == {
-        "s1_scan_all", "s2_scan_directory", "t1_split_chunks", "t2_embed", "j4_knn_join_approx"
+        "t1_split_chunks", "t2_embed", "j4_knn_join_approx"
     }
