@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citemill.operators import catalog as cat
+from citemill.functions.sql import register_sql_functions
+from citemill.functions.text import strip
 from citemill.operators.chunking import chunk_pages, clean_pages, split_chunks
 from citemill.operators.vectors import embed, missing_vectors, table_embedder
 from citemill.registry import inputs as given
@@ -44,6 +46,64 @@ def t1_solid(spark, folder):
     )
 
 
+# Single spaces and no other separator; words of at most 500 characters.
+FLAT_MARKS, FLAT_LONG = r"([.;]*[ \t\n\r]+)+", r"([^ ]{500})"
+
+
+@register(
+    "t1_split_lateral",
+    f"""WITH RECURSIVE flat AS (
+          SELECT doc_id, trim(regexp_replace(regexp_replace(text, '{FLAT_MARKS}', ' ', 'g'), '{FLAT_LONG}', '\\1 ', 'g')) AS t
+          FROM documents),
+        words AS (SELECT doc_id, t, string_split(t, ' ') AS w FROM flat WHERE t <> ''),
+        pieces AS (SELECT doc_id, unnest(range(len(w))) AS k, length(unnest(w)) AS n FROM words),
+        starts AS (
+          SELECT doc_id, k, CASE WHEN k = 0 THEN 0
+            ELSE CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) + k - 1 END AS pos
+          FROM pieces),
+        cuts AS (
+          SELECT doc_id, any_value(t) AS t, list_append(list(pos ORDER BY k), length(any_value(t))) AS b
+          FROM starts JOIN words USING (doc_id) GROUP BY doc_id),
+        chunks AS (
+          SELECT doc_id, t, b, 0 AS place, CAST(1 AS BIGINT) AS s, len(list_filter(b, lambda x: x <= 1000)) AS e FROM cuts
+          UNION ALL
+          SELECT doc_id, t, b, place + 1, n, len(list_filter(b, lambda x: x <= b[n] + 1000)) FROM (
+            SELECT *, least(greatest(s, 1 + len(list_filter(b, lambda x: x < greatest(b[e] - 200, b[e + 1] - 1000)))), e) AS n
+            FROM chunks WHERE e < len(b)))
+        SELECT doc_id, place AS index_in_page, trim(substr(t, b[s] + 1, b[e] - b[s])) AS text FROM chunks""",
+)
+def t1_lateral(spark, folder):
+    """The splitter as a table function in SQL, on texts of words parted by single spaces."""
+    register_sql_functions(spark)
+    flat = F.trim(F.regexp_replace(F.regexp_replace("text", FLAT_MARKS, " "), FLAT_LONG, "$1 "))
+    documents = given.spread_documents(spark, folder).select("doc_id", flat.alias("flat"))
+    return spark.sql(
+        "SELECT d.doc_id, c.index_in_page, c.text FROM {documents} d, LATERAL split_chunks(d.flat) c", documents=documents
+    )
+
+
+@register(
+    "t1_chunk_invariants",
+    given.with_ctes(
+        """SELECT document_name, page, true AS all_fit, true AS all_in_page, true AS starts, true AS ends
+           FROM clean_pages WHERE length(text) > 0""",
+        given.SOP_PAGES, given.CLEAN_PAGES,
+    ),
+)
+def t1_invariants(spark, folder):
+    """Per page: chunks are short enough and parts of the page, the first starts it and the last ends it."""
+    pages = clean_pages(given.sop_pages(spark, folder)).withColumn("chunks", split_chunks(F.col("text")))
+    page = strip(F.col("text"))
+    return pages.select(
+        "document_name",
+        "page",
+        F.forall("chunks", lambda c: F.length(c) <= 1000).alias("all_fit"),
+        F.forall("chunks", lambda c: F.contains(F.col("text"), c)).alias("all_in_page"),
+        F.startswith(page, F.get("chunks", F.lit(0))).alias("starts"),
+        F.endswith(page, F.element_at("chunks", -1)).alias("ends"),
+    )
+
+
 @register(
     "w2_chunk_index",
     given.with_ctes(
