@@ -112,6 +112,12 @@ def build_index(docs: DataFrame, directory: list[int], place: str | None = None)
     return spark.read.schema(owned.schema).parquet(path)
 
 
+def look_up(keys: DataFrame, index: DataFrame, directory: list[int]) -> DataFrame:
+    """Rows with their entries: a key's directory slot names the bucket, and there its chain is searched for the text."""
+    placed = keys.withColumn("bucket", bucket_of(F.col("key"), directory))
+    return placed.join(index.hint("merge"), ["bucket", "key", "sha"])
+
+
 def exact_groups(docs: DataFrame, capacity: int | None = None, place: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain.
 
@@ -121,8 +127,8 @@ def exact_groups(docs: DataFrame, capacity: int | None = None, place: str | None
     keys = staged(
         normalised(docs, place).select("row", "key", F.sha2("body", 256).alias("sha")), "dedup-keys"
     )
-    index = build_index(docs, directory_of(keys, capacity), place)
-    found = keys.join(index.hint("merge"), ["key", "sha"])
+    directory = directory_of(keys, capacity)
+    found = look_up(keys, build_index(docs, directory, place), directory)
     return found.select(
         "row.doc_id",
         F.col("keep.doc_id").alias("keep_id"),

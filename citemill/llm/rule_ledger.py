@@ -1,8 +1,8 @@
 """Quality rules: every rule is evaluated once into a ledger of failure bits.
 
-A ledger row holds a document's measurements and one bit per failed rule. Policies
-are versions: sets of rules that reject. Applying another version, or asking what a
-rule does within one, reads only the ledger.
+A ledger row holds a document's measurements and one bit per failed rule. The ledger
+is written once. Policies are versions: sets of rules that reject. Applying another
+version, or asking what a rule does within one, reads only the written table.
 
 Only column functions; one pass over the texts, no shuffle. Null text counts as
 empty. Repeated rows give repeated ledger rows. Other columns of the input are
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citemill.llm.catalog import register
-from citemill.llm.common import BLANKS, WORD, table, texts
+from citemill.llm.common import BLANKS, WORD, staged, table, texts
 
 WINDOW = 8
 SYMBOL = r"[#*$%&|<>]+"
@@ -136,6 +136,11 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return measure(docs).withColumn("fail_bits", bits)
 
 
+def stored_ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger, evaluated and written."""
+    return staged(ledger(docs, rules), "rule-ledger")
+
+
 def apply_policy(rows: DataFrame, version: str = CURRENT) -> DataFrame:
     """Add ``kept``: no rule of this policy version failed."""
     return rows.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[version]))) == 0)
@@ -174,7 +179,7 @@ def ablation(rows: DataFrame) -> DataFrame:
     )
 
 
-SQL = r"""
+_LEDGER_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -192,6 +197,8 @@ m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(wor
 b AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
     + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 10 * n_upper > 4 * word_chars THEN 8 ELSE 0 END)
     + (CASE WHEN 10 * n_stutters > 3 * n_words THEN 16 ELSE 0 END) + (CASE WHEN 2 * n_dup_lines > n_lines THEN 32 ELSE 0 END) AS fail_bits FROM m)
+"""
+SQL = _LEDGER_SQL + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed,
   fail_bits = 0 AS kept, n_lines, n_stutters, n_upper, fail_bits::BIGINT AS fail_bits FROM b
 """
@@ -199,8 +206,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 @register("op1_rule_ledger", SQL)
 def op1_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    rows = apply_policy(ledger(table(spark, folder, "documents")))
+    rows = apply_policy(stored_ledger(table(spark, folder, "documents")))
     base = F.col("fail_bits").bitwiseAND(F.lit(mask(BASE))) != 0
     return rows.select(
         "doc_id", *MEASURES[:5], base.alias("base_failed"), "kept", *MEASURES[5:], "fail_bits"
     )
+
+
+ABLATION_SQL = _LEDGER_SQL + ", cases AS (" + " UNION ALL ".join(
+    f"SELECT '{version}' AS policy, '{name}' AS rule, {mask(names)} AS policy_bits, {mask((name,))} AS bit"
+    for version, names in POLICIES.items()
+    for name in names
+) + """)
+SELECT policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS failed,
+  count(*) FILTER (fail_bits & policy_bits = bit) AS rejected_by_it_alone,
+  count(*) FILTER (fail_bits & policy_bits <> 0) AS rejected_by_policy,
+  CAST(bit_or(fail_bits & policy_bits) AS BIGINT) AS bits_seen
+FROM b, cases GROUP BY policy, rule
+"""
+
+
+@register("rule_ablation", ABLATION_SQL)
+def rule_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    """What each rule does in each policy version, from the stored ledger of all documents."""
+    return ablation(stored_ledger(table(spark, folder, "documents")))

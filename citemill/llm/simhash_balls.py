@@ -9,8 +9,8 @@ Each match is verified on the complete distance.
 
 Only different fingerprints are indexed; copies of a fingerprint stand behind one
 row. Tables are dealt by segment value; a task compares what meets in a bucket in
-blocks and sends on a spanning forest of the links, never all pairs. Buckets with
-more than ``BUCKET_ROWS`` fingerprints are cut into blocks, and each pair of blocks
+blocks and sends on a spanning forest of the links, never all pairs. Buckets in
+which more than ``BUCKET_ROWS`` fingerprints meet, at home or as probes, are cut into blocks, and each pair of blocks
 is a task of its own, so no bucket has to fit in one task and no link is lost.
 
 Components come from rounds of alternating star contraction on tables, checkpointed
@@ -195,16 +195,40 @@ def _small(rows: np.ndarray, homes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return rows[i], homes[j]
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A bucket's home rows as what they bring to each bucket of their ball."""
+    for batch in batches:
+        bucket, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for number, (_, width, radius) in enumerate(SEGMENTS):
+            own = bucket >> 32 == number
+            around = ball((bucket[own] & 0xFFFFFFFF).astype(np.uint64), width, radius)
+            reached = (np.uint64(number << 32) | around).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(reached.ravel()), pa.array(np.repeat(rows[own], reached.shape[1]))], ["bucket", "rows"]
+            )
+
+
+def crowded_buckets(homes: DataFrame) -> DataFrame:
+    """bucket and rows of the buckets in which more than BUCKET_ROWS rows meet, homes and probes together.
+
+    ``homes`` has the number of home rows of each bucket. Probes come from the buckets of
+    a ball, so a crowded bucket has a dense one around it, and only what the dense ones
+    bring is added up; what the others bring is less than BUCKET_ROWS in all.
+    """
+    most = 1 + max(width for _, width, radius in SEGMENTS if radius)
+    dense = homes.where(F.col("rows") * most > BUCKET_ROWS)
+    met = dense.mapInArrow(_spread, "bucket long, rows long").groupBy("bucket").agg(F.sum("rows").alias("rows"))
+    # Nothing is compared in a bucket without a home row.
+    return met.where(F.col("rows") > BUCKET_ROWS).join(homes.select("bucket"), "bucket", "left_semi")
+
+
 def near_links(prints: DataFrame) -> DataFrame:
     """Links a, b that connect all fingerprints within BITS_MAX bits of each other.
 
     ``prints`` is a written table of different fingerprints (column ``print``).
     """
     entries = prints.select("print").mapInArrow(_entries, "bucket long, print long, home boolean")
-    large = staged(
-        entries.where("home").groupBy("bucket").agg(F.count("*").alias("rows")).where(F.col("rows") > BUCKET_ROWS),
-        "large-buckets",
-    )
+    large = staged(crowded_buckets(entries.where("home").groupBy("bucket").agg(F.count("*").alias("rows"))), "large-buckets")
     if large.isEmpty():
         return entries.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "a long, b long")
     marked = entries.join(large, "bucket", "left")

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from citemill.llm import (
     concat_cut,
@@ -48,6 +49,16 @@ def test_repeated_words(spark):
         assert row.n_repeat_words == _repeated(cases[row.doc_id].split()), cases[row.doc_id]
 
 
+def test_policies_read_the_stored_ledger(spark, some_docs):
+    """Policies and ablation are plans over the written table: no text, no pattern in them."""
+    stored = rule_ledger.stored_ledger(some_docs)
+    for frame in (rule_ledger.apply_policy(stored, "v1"), rule_ledger.ablation(stored)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp" not in plan and "text" not in plan
+    kept = {v: rule_ledger.apply_policy(stored, v).where("kept").count() for v in rule_ledger.POLICIES}
+    assert kept["base"] >= kept["v1"] >= kept["v2"]
+
+
 def test_ablation_adds_up(spark, some_docs):
     rows = rule_ledger.ledger(some_docs).collect()
     for r in rule_ledger.ablation(rule_ledger.ledger(some_docs)).collect():
@@ -207,6 +218,20 @@ def test_small_buckets_change_nothing(some_docs):
     assert a == {r.doc_id: r[1:5] for r in b} and len({r.bucket for r in b}) > 10
 
 
+def test_rows_are_found_through_the_directory(some_docs):
+    """With one slot that points to another bucket, the rows of that slot find nothing."""
+    keys = extendible_dedup.normalised(some_docs).select("row", "key", F.sha2("body", 256).alias("sha"))
+    directory = extendible_dedup.directory_of(keys, 20)
+    index = extendible_dedup.build_index(some_docs, directory)
+    assert extendible_dedup.look_up(keys, index, directory).count() == some_docs.count()
+    depth = len(directory).bit_length() - 1
+    slot = extendible_dedup.key_prefix(F.col("key"), depth)
+    hit = keys.groupBy(slot.alias("slot")).count().orderBy(F.desc("count")).first()
+    wrong = list(directory)
+    wrong[hit["slot"]] = max(directory) + 1
+    assert extendible_dedup.look_up(keys, index, wrong).count() == some_docs.count() - hit["count"]
+
+
 # Pieces
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60) | st.text("ab ▁\n\té€", max_size=60))
@@ -260,6 +285,22 @@ def test_simhash_query(spark, texts):
         assert row.component_id == first[root[prints[row.doc_id]]]
 
 
+def test_crowded_buckets_count_probes(spark, monkeypatch):
+    """A bucket with one home row that a crowd next to it probes is crowded too."""
+    monkeypatch.setattr(simhash_balls, "BUCKET_ROWS", 200)
+    rng = np.random.default_rng(8)
+    crowd = [(int(x) << 22) | 0b1011 for x in rng.choice(1 << 40, 900, replace=False)]  # one home bucket of the first table
+    alone = (5 << 22) | 0b1010  # a neighbour of it
+    frame = spark.createDataFrame([(p,) for p in [*crowd, alone]], "print long")
+    entries = frame.mapInArrow(simhash_balls._entries, "bucket long, print long, home boolean")
+    rows = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).collect()
+    homes = entries.where("home").groupBy("bucket").agg(F.count("*").alias("rows"))
+    found = {r.bucket: r.rows for r in simhash_balls.crowded_buckets(homes).collect()}
+    assert {0b1011, 0b1010} <= found.keys() and found[0b1010] >= 900
+    for r in rows:
+        assert r.bucket in found or not r.homes or r.n <= 2 * 200
+
+
 @pytest.mark.parametrize("bucket_rows", [8192, 7])
 def test_components_of_chains_and_clusters(spark, monkeypatch, bucket_rows):
     """Dense clusters and long chains at exactly 4 and 5 bits, also with buckets cut into blocks."""
