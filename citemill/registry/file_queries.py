@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from citemill.operators.running import running_values
 from citemill.operators.scan_status import dispatch_summary, scan_status
+from citemill.plans.ingest import scan_and_ingest
 from citemill.registry import inputs as given
 from citemill.registry.catalog import register
 from citemill.session import prepare_session, scratch_path
@@ -226,26 +227,48 @@ def p21(spark, folder):
     )
 
 
-def _manual_scan(spark, folder, force_all):
-    valid = _valid(spark, folder).select("absolute_path", "length", "modified_ms")
-    return valid if force_all else fs.changed_files(valid, given.manifest(spark, folder))
-
-
 @register(
     "st2_manual_trigger",
     given.with_ctes(
-        """SELECT true AS force_all, count(*) AS files_dispatched FROM valid
-           UNION ALL SELECT false, count(*) FROM changed""",
-        given.FILES, VALID, given.MANIFEST, CHANGED,
-    ),
+        """SELECT * FROM (WITH with_pages AS (SELECT DISTINCT document_name FROM solid_pages),
+        scans AS (
+          SELECT 'changed' AS scan, count(*) AS a, count(document_name) AS b
+          FROM changed LEFT JOIN with_pages ON document_name = list_extract(string_split(absolute_path, '/'), -1)
+          UNION ALL
+          SELECT 'forced', count(*), count(document_name)
+          FROM valid LEFT JOIN with_pages ON document_name = file_name)
+        SELECT scan, a AS files_dispatched, 'Manual scan completed: ' || b || '/' || a || ' documents dispatched.' AS status FROM scans
+        UNION ALL SELECT 'deferred', 0, 'Scan deferred: Python AI engine is currently unreachable.'
+        UNION ALL SELECT 'aborted', 0, 'Manual scan aborted: Python AI engine is offline.'
+        UNION ALL SELECT 'repeated', a - b, CASE WHEN a = b THEN 'Scan completed: Knowledge base is up to date (no new/modified PDFs).'
+          ELSE 'Scan completed successfully: 0/' || (a - b) || ' documents synchronized.' END FROM scans WHERE scan = 'changed')""",
+        given.FILES, VALID, given.MANIFEST, CHANGED, given.SOLID_PAGES,
+    ).replace("'.PDF' ELSE", "'.pdf' ELSE"),
 )
 def st2(spark, folder):
-    counts = [
-        _manual_scan(spark, folder, force_all).agg(F.count("*").alias("files_dispatched"))
-        .select(F.lit(force_all).alias("force_all"), "files_dispatched")
-        for force_all in (True, False)
-    ]
-    return counts[0].unionByName(counts[1])
+    """Scans of one store through the job: deferred, aborted, changed files, the same again, and all files by force."""
+    lower = F.regexp_replace("absolute_path", "PDF$", "pdf").alias("absolute_path")
+    listing = given.files(spark, folder).select(lower, "length", "modified_ms")
+    store = ChunkStore(spark, scratch_path(spark, "store"))
+    store.write_manifest(given.manifest(spark, folder).select(lower, "modified_ms"))
+    pages = given.solid_pages(spark, folder)
+
+    def read_pages(chosen):
+        names = chosen.select(fs.base_name(F.col("absolute_path")).alias("document_name"))
+        return pages.join(names, "document_name", "left_semi").select(*pages.columns)
+
+    scans = {
+        "deferred": {"healthy": lambda: False},
+        "aborted": {"healthy": lambda: False, "manual": True},
+        "changed": {"manual": True},
+        "repeated": {},
+        "forced": {"manual": True, "force_all": True},
+    }
+    rows = []
+    for name, options in scans.items():
+        outcome = scan_and_ingest(store, listing, read_pages, **options)
+        rows.append((name, outcome.dispatched, outcome.status))
+    return spark.createDataFrame(rows, "scan string, files_dispatched bigint, status string")
 
 
 @register(

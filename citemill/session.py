@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -53,6 +54,25 @@ def build_session(
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, where it is not installed there.
+
+    Python functions of the library are looked up by name on the workers, so these need
+    the package too. Once a session is enough.
+    """
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="package-")
+    archive = os.path.join(folder, "citemill.zip")
+    with zipfile.ZipFile(archive, "w") as packed:
+        for place, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(place, name)
+                    packed.write(path, os.path.join("citemill", os.path.relpath(path, package)))
+    # Spark copies the archive to its own files; the folder is only the driver's.
+    spark.sparkContext.addPyFile(archive)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, for checkpoints and staged tables.
 
