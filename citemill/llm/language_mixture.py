@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,10 @@ UNKNOWN = "und"
 
 def trigram_ids(text: str) -> np.ndarray:
     """Hashed trigrams of letters; everything else is one space between words."""
-    plain = "".join([c if c.isalpha() else " " for c in text.lower()]) if not text.isascii() else None
+    # Marks that stand on a letter belong to the word.
+    plain = None if text.isascii() else "".join(
+        [c if c.isalpha() or c > "\u02ff" and category(c)[0] == "M" else " " for c in text.lower()]
+    )
     if plain is None:
         codes = np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint32)
         codes[(codes < 97) | (codes > 122)] = 32
@@ -141,18 +145,39 @@ def mixture(logs: np.ndarray, counts: np.ndarray) -> dict[int, float]:
     return dict(zip(chosen, weights.tolist()))
 
 
-def predict(text: str | None, langs: list[str], model: np.ndarray) -> dict[int, float]:
-    """Languages of a text and their shares; none without a letter. ``model`` has a row per n-gram."""
+def certainty(logs: np.ndarray, counts: np.ndarray, chosen: dict[int, float]) -> float:
+    """Posterior of the largest share's language, as the only one, among the languages that were not chosen.
+
+    All languages are as likely at first. Each character is in three trigrams, so a third
+    of the log-likelihood counts.
+    """
+    totals = (logs @ counts) / 3
+    best = min(chosen, key=lambda k: (-chosen[k], k))
+    others = np.array([total - totals[best] for k, total in enumerate(totals) if k not in chosen])
+    return float(1 / (1 + np.exp(np.minimum(others, 700)).sum()))
+
+
+def predict(text: str | None, langs: list[str], model: np.ndarray) -> tuple[dict[int, float], float]:
+    """Languages of a text and their shares, and how certain the largest is; none without a letter.
+
+    ``model`` has a row per n-gram.
+    """
     if not text or not langs:
-        return {}
+        return {}, 0.0
     grams, counts = trigram_counts(text)
     if not len(grams) or not any(map(str.isalpha, text)):
-        return {}
-    return mixture(model[grams].T.astype(np.float64), counts.astype(np.float64))
+        return {}, 0.0
+    logs, weights = model[grams].T.astype(np.float64), counts.astype(np.float64)
+    found = mixture(logs, weights)
+    return found, certainty(logs, weights, found)
 
 
 def identify(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred, score (share of that language), langs (map of all shares)."""
+    """doc_id, lang_pred, score, langs (map of all shares).
+
+    The score is the predicted language's share times the certainty that it is this
+    language rather than one that was not found, so a short text has a low one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(logs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,10 +185,10 @@ def identify(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
         for batch in batches:
             names, scores, shares = [], [], []
             for text in batch.column(1).to_pylist():
-                found = predict(text, langs, model)
+                found, sure = predict(text, langs, model)
                 best = min(found, key=lambda k: (-found[k], k), default=None)
                 names.append(UNKNOWN if best is None else langs[best])
-                scores.append(0.0 if best is None else min(1.0, found[best]))
+                scores.append(0.0 if best is None else min(1.0, found[best]) * sure)
                 shares.append([(langs[k], v) for k, v in sorted(found.items())])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -188,7 +213,7 @@ def with_language(docs: DataFrame, langs: list[str], logs: np.ndarray) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = np.ascontiguousarray(shared.value.T)
         for batch in batches:
-            found = [bool(predict(text, langs, model)) for text in batch.column(text_at).to_pylist()]
+            found = [bool(predict(text, langs, model)[0]) for text in batch.column(text_at).to_pylist()]
             yield batch.filter(pa.array(found, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -190,6 +191,53 @@ def test_mixture_finds_both_languages(spark, some_docs):
     assert (found[4].lang_pred, found[4].score, found[5].lang_pred) == ("und", 0.0, "und")
 
 
+def test_scores_say_how_certain(spark, some_docs):
+    langs, logs = language_mixture.trained_on(some_docs)
+    text = next(r.text for r in some_docs.collect() if r.lang == "de" and len(r.text) > 2000)
+    frame = spark.createDataFrame([(1, "ok"), (2, text[:12]), (3, text), (4, "42")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in language_mixture.identify(frame, langs, logs).collect()}
+    assert 0 < score[1] < 0.9 and score[1] < score[3] and score[2] <= score[3] and score[3] > 0.95 and score[4] == 0
+
+
+def test_mixture_equals_plain_em():
+    """Proportions and the choice of languages against loops over single n-grams."""
+    rng = np.random.default_rng(4)
+    for trial in range(20):
+        logs = np.log(rng.dirichlet(np.full(30, 0.3), 4) + 1e-6)
+        truth = rng.dirichlet(np.full(4, 0.5))
+        counts = rng.multinomial(400, truth @ np.exp(logs) / (truth @ np.exp(logs)).sum()).astype(float) + 1e-9
+        n, grams = counts.sum(), range(30)
+
+        def fit(chosen, weights):
+            for _ in range(language_mixture.STEPS):
+                new = [0.0] * len(chosen)
+                for g in grams:
+                    parts = [w * math.exp(logs[k][g]) for w, k in zip(weights, chosen)]
+                    for i, part in enumerate(parts):
+                        new[i] += counts[g] * part / sum(parts) / n
+                weights = new
+            return weights, sum(counts[g] * math.log(sum(w * math.exp(logs[k][g]) for w, k in zip(weights, chosen))) for g in grams)
+
+        single = [sum(counts[g] * logs[k][g] for g in grams) for k in range(4)]
+        chosen = [single.index(max(single))]
+        weights, best = fit(chosen, [1.0])
+        while len(chosen) < 4:
+            slope = {}
+            for k in set(range(4)) - set(chosen):
+                mixed = lambda g: sum(w * math.exp(logs[c][g]) for w, c in zip(weights, chosen))
+                slope[k] = sum(counts[g] * math.exp(logs[k][g]) / mixed(g) for g in grams) - n
+            added = max(slope, key=slope.get)
+            if slope[added] <= 0:
+                break
+            tried, value = fit([*chosen, added], [w * 0.9 for w in weights] + [0.1])
+            if value - best <= language_mixture.PENALTY * math.log(n + 1):
+                break
+            chosen, weights, best = [*chosen, added], tried, value
+        found = language_mixture.mixture(logs, counts)
+        assert found.keys() == set(chosen)
+        assert all(math.isclose(found[k], w, rel_tol=1e-6, abs_tol=1e-9) for k, w in zip(chosen, weights))
+
+
 def test_mixture_likelihood_grows():
     rng = np.random.default_rng(1)
     likelihoods, counts = rng.random((3, 50)), rng.integers(1, 9, 50).astype(float)

@@ -19,4 +19,4 @@ def test_rows_equal_sql(spark, name):
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
     assert set(load_all()) | {"pipeline"} <= names
-    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
