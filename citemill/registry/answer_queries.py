@@ -117,6 +117,9 @@ def s15(spark, folder):
 
 
 END = "~end"
+MESSAGE_SQL = """SELECT role, text AS content, CAST(NULL AS VARCHAR) AS cited, CAST(0 AS INTEGER) AS n_citations
+  FROM conversations WHERE role <> 'assistant'
+  UNION ALL SELECT 'assistant', answer, request_id, 1 FROM folded"""
 FOLDED = """folded AS (
   SELECT request_id,
          coalesce(arg_max(full_answer, seq) FILTER (type = 'done'), string_agg(content, '' ORDER BY seq) FILTER (type = 'token')) AS answer,
@@ -137,6 +140,16 @@ def a5(spark, folder):
     return folded.withColumn("cited", F.get(F.col("citations"), F.lit(0))["document"]).drop("citations")
 
 
+@register("s15_message_citations", given.with_ctes(MESSAGE_SQL, given.ANSWERS, given.ANSWER_EVENTS, FOLDED))
+def s15_citations(spark, folder):
+    """The history with the answers folded from their events, citations and all."""
+    asked = given.table(spark, folder, "conversations").filter("role <> 'assistant'").select("role", F.col("text").alias("content"))
+    answered = ev.assistant_messages(fold_events(given.answer_events(spark, folder)))
+    history = ev.append_messages(asked, answered)
+    cited = F.coalesce("citations", F.array().cast(history.schema["citations"].dataType))
+    return history.select("role", "content", F.get(cited, F.lit(0))["document"].alias("cited"), F.size(cited).alias("n_citations"))
+
+
 @register(
     "st6_stream_fold",
     given.with_ctes(

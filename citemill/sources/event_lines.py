@@ -38,6 +38,11 @@ def read_event_lines(spark: SparkSession, path: str) -> DataFrame:
     return parse_event_lines(spark.read.text(path))
 
 
+def assistant_messages(folded: DataFrame) -> DataFrame:
+    """Folded answers as history rows: role, content and the citations that came with them."""
+    return folded.select(F.lit("assistant").alias("role"), F.col("answer").alias("content"), "citations")
+
+
 def append_messages(history: DataFrame, new: DataFrame) -> DataFrame:
     """History with new rows added; a column one side lacks is null there."""
     return history.unionByName(new, allowMissingColumns=True)
