@@ -31,10 +31,10 @@ from citemill.llm.common import BLANKS, slices, staged, table
 
 WINDOW = 2048
 END_ID = 1
-PIECES_HELD = 400_000
+PIECES_HELD = 150_000
 PIECE_CHARS_HELD = 64
 # Bytes of text that become Python strings, and characters that are cut into pieces, at a time.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 CUT_CHARS = 1 << 18
 # The split pattern of the public word model, and the same for lower-cased Latin-1.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -75,18 +75,21 @@ class WordCoder:
         self.library = Tokenizer.from_str(model)
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cuts_latin = self._has_word_pattern(model)
+        self.cuts_latin = self._has_word_pattern()
         # Pieces seen lately; when they are too many they become the older ones.
         self.known: dict[bytes | str, bytes] = {}
         self.older: dict[bytes | str, bytes] = {}
 
-    @staticmethod
-    def _has_word_pattern(model: str) -> bool:
+    def _has_word_pattern(self) -> bool:
         """Whether the model normalises and splits as ``_SPLIT_LATIN`` does."""
-        read = json.loads(model)
-        parts = lambda step, name: (step or {}).get(name) or [step or {}]
-        normal = [n.get("type") for n in parts(read.get("normalizer"), "normalizers")]
-        steps = parts(read.get("pre_tokenizer"), "pretokenizers")
+
+        def parts(step, name: str) -> list[dict]:
+            # The step's own state, so that the vocabulary is not parsed once more.
+            read = json.loads(step.__getstate__()) if step is not None else {}
+            return read.get(name) or [read]
+
+        normal = [n.get("type") for n in parts(self.library.normalizer, "normalizers")]
+        steps = parts(self.library.pre_tokenizer, "pretokenizers")
         split, last = steps[0], steps[-1]
         return (
             normal == ["NFC", "Replace", "Lowercase"]
