@@ -13,7 +13,7 @@ from citemill.functions.text import base_name
 from citemill.operators.catalog import ingest_receipts
 from citemill.operators.chunking import clean_pages, number_chunks, split_pages
 from citemill.operators.vectors import Embedder, embed, hashed_word_embedder
-from citemill.session import scratch_path
+from citemill.session import delete_on_exit, scratch_path
 from citemill.sources.files import changed_files, is_valid_pdf
 from citemill.sources.store import ChunkStore
 
@@ -54,7 +54,7 @@ def ingest_pages(
         pages = pages.withColumn("error", F.lit(None).cast("string"))
     staged_path = scratch_path(store.spark, "split-pages")
     split_pages(clean_pages(pages, keep_empty=True)).write.parquet(staged_path)
-    staged = store.spark.read.parquet(staged_path)
+    staged = store.spark.read.parquet(delete_on_exit(store.spark, staged_path))
     good = staged.filter("error is null")
     chunks = number_chunks(good.filter("page is not null"))
     version = store.publish(embed(chunks, embedder=embedder), good, version)
@@ -89,6 +89,7 @@ def scan_and_ingest(
     # The listing may differ when it is read again, so the choice is kept.
     chosen_path = scratch_path(store.spark, "chosen-files")
     chosen.write.parquet(chosen_path)
+    delete_on_exit(store.spark, chosen_path)
     chosen = store.spark.read.schema(files.select(*chosen.columns).schema).parquet(chosen_path)
     dispatched = chosen.count()
     if dispatched == 0:

@@ -97,3 +97,10 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/{label}-{os.urandom(8).hex()}"
+
+
+def delete_on_exit(spark: SparkSession, path: str) -> str:
+    """Delete a written scratch folder when the application ends; lazy results may read it until then."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path

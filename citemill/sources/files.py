@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from citemill.functions import fixed_values as fixed
 from citemill.functions.text import base_name
-from citemill.session import scratch_path
+from citemill.session import delete_on_exit, scratch_path
 from citemill.sources.paths import glob_literal, has_match, is_folder, qualified, uri_form
 
 # Chosen paths that one plan holds.
@@ -186,6 +186,7 @@ def chosen_contents(
         return part(first)
     staged = scratch_path(spark, "chosen-contents")
     part(first).write.mode("append").parquet(staged)
+    delete_on_exit(spark, staged)
     while then:
         part(then).write.mode("append").parquet(staged)
         then = list(islice(rows, at_once))

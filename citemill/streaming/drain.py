@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citemill.session import scratch_path
+from citemill.session import delete_on_exit, scratch_path
 
 PARTS = 3
 FILES = 4
@@ -16,7 +16,7 @@ def arrive_in_parts(rows: DataFrame, last: DataFrame, path: str, columns: list[s
     spark = rows.sparkSession
     kept = scratch_path(spark, "arriving")
     rows.write.parquet(kept)
-    rows = spark.read.schema(rows.schema).parquet(kept)
+    rows = spark.read.schema(rows.schema).parquet(delete_on_exit(spark, kept))
     at = F.unix_micros(F.col("arrived").cast("timestamp"))
     first, end = rows.agg(F.min(at), F.max(at)).first()
     span = 1 if first is None else (end - first) // parts + 1
@@ -24,6 +24,7 @@ def arrive_in_parts(rows: DataFrame, last: DataFrame, path: str, columns: list[s
     for number in range(parts):
         rows.where(part == number).select(*columns).repartition(FILES).write.mode("append").parquet(path)
     last.select(*columns).coalesce(1).write.mode("append").parquet(path)
+    delete_on_exit(spark, path)
     schema = rows.select(*columns).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
@@ -40,4 +41,4 @@ def drained(stream: DataFrame) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(delete_on_exit(spark, out))
