@@ -7,8 +7,9 @@ matrix products over Arrow batches, and only a question's best rows leave a task
   every task; the chunk table is read once where it lies and is not shuffled.
 * ``nearest_by_cells``: for any number of questions. Chunks fall into cells around
   a fixed number of pivots. A question visits only the cells the triangle
-  inequality cannot rule out, so results are exact. Cells are cut into blocks of
-  bounded size, so one crowded cell is spread over many tasks.
+  inequality cannot rule out, so results are exact. A task holds a block of questions
+  of bounded size and reads its share of the chunks as they come, cell by cell; the
+  chunks are shared out by hashed id, so one crowded cell is spread over many tasks.
 * ``nearest_in_probed_cells``: the same, visiting just the closest few cells;
   approximate.
 
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,11 @@ from citemill.functions import fixed_values as fixed
 DECIMALS = 9
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_QUESTIONS = 8192
-ROWS_PER_PRODUCT = 4096
+# Rows of one matrix product: chunks and questions.
+ROWS_PER_PRODUCT = 2048
+QUESTIONS_PER_PRODUCT = 1024
+QUESTION_BLOCK_BYTES = 16 << 20
+OUTPUT_ROWS = 1 << 16
 TASKS_PER_CORE = 4
 SLACK = 1e-6
 
@@ -54,31 +60,64 @@ def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return values.astype("U") if values.dtype == object else values
 
 
+def _slices(batch: pa.RecordBatch, rows: int = ROWS_PER_PRODUCT) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
+
+
 class _Best:
-    """The best ``limits[q]`` rows seen so far for each question ``q``."""
+    """The best ``limits[q]`` rows seen so far for each question ``q``.
+
+    Products are taken over small blocks, and only rows that may still be among the best
+    are rounded, sorted and kept, so what is held goes by the questions alone.
+    """
 
     def __init__(self, questions: np.ndarray, limits: np.ndarray):
         self.questions = questions
         self.limits = limits
         self.worst = np.full(len(limits), np.inf)
         self.rows = None
+        self.found = []
+        self.n_found = 0
 
-    def add(self, vectors: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, vectors: np.ndarray, ids: np.ndarray, asking: np.ndarray | None = None) -> None:
+        """Take in chunks, for all questions or those numbered in ``asking``."""
         for start in range(0, len(ids), ROWS_PER_PRODUCT):
-            self._add_block(vectors[start:start + ROWS_PER_PRODUCT], ids[start:start + ROWS_PER_PRODUCT])
-
-    def _add_block(self, vectors: np.ndarray, ids: np.ndarray) -> None:
-        product = self.questions @ vectors.T
-        distance = np.maximum(np.round(1.0 - product, DECIMALS), 0.0) + 0.0
-        keep = int(self.limits.max())
-        bound = self.worst
-        if len(ids) > keep:
+            block, block_ids = vectors[start:start + ROWS_PER_PRODUCT], ids[start:start + ROWS_PER_PRODUCT]
+            count = len(self.limits) if asking is None else len(asking)
+            for first in range(0, count, QUESTIONS_PER_PRODUCT):
+                last = min(first + QUESTIONS_PER_PRODUCT, count)
+                part = slice(first, last) if asking is None else asking[first:last]
+                self._add_block(np.arange(first, last) if asking is None else part, part, block, block_ids)
+            if self.n_found > len(self.limits):
+                self._merge()
+
+    def _add_block(self, numbers: np.ndarray, part, vectors: np.ndarray, ids: np.ndarray) -> None:
+        cosine = self.questions[part] @ vectors.T
+        bound = self.worst[part]
+        keep = int(self.limits[part].max())
+        if len(ids) > keep and np.isinf(bound).any():
             # Rows past the block's own k-th distance cannot be among the best.
-            bound = np.minimum(bound, np.partition(distance, keep - 1, axis=1)[:, keep - 1])
-        question, column = np.nonzero(distance <= bound[:, None])
-        found = (question, distance[question, column], ids[column])
-        if self.rows is not None:
-            found = tuple(np.concatenate(pair) for pair in zip(self.rows, found))
+            own = np.partition(np.where(np.isnan(cosine), -np.inf, cosine), len(ids) - keep, axis=1)[:, len(ids) - keep]
+            bound = np.minimum(bound, np.maximum(np.round(1.0 - own, DECIMALS), 0.0))
+        # A little more than rounding can make up; distances below decide.
+        at = np.flatnonzero(cosine >= (1.0 - bound - 2 * 10.0 ** -DECIMALS)[:, None])
+        question, column = np.divmod(at, len(ids))
+        distance = np.maximum(np.round(1.0 - cosine.ravel()[at], DECIMALS), 0.0) + 0.0
+        kept = distance <= bound[question]
+        if kept.any():
+            self.found.append((numbers[question[kept]], distance[kept], ids[column[kept]]))
+            self.n_found += int(kept.sum())
+            # Many equal rows, as of copies, are cut before more come.
+            if self.n_found > 8 * len(self.limits) + (1 << 20):
+                self._merge()
+
+    def _merge(self) -> None:
+        if not self.found:
+            return
+        parts = [self.rows, *self.found] if self.rows is not None else self.found
+        found = tuple(np.concatenate(column) for column in zip(*parts))
+        self.found, self.n_found = [], 0
         order = np.lexsort((found[2], found[1], found[0]))
         question, distance, ids = (part[order] for part in found)
         first = np.searchsorted(question, np.arange(len(self.limits)))
@@ -88,6 +127,10 @@ class _Best:
         full = rank == self.limits[question] - 1
         self.worst[question[full]] = distance[full]
 
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        self._merge()
+        return self.rows
+
 
 def _schema_of(questions: DataFrame, chunks: DataFrame) -> str:
     question_type = questions.schema["query_id"].dataType.simpleString()
@@ -99,14 +142,18 @@ def _arrow_type(name: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
 
 
-def _output(best: _Best, question_ids: list, types: tuple[pa.DataType, pa.DataType]) -> dict:
-    question, distance, ids = best.rows
-    return {
-        "query_id": pa.array([question_ids[q] for q in question], types[0]),
-        "top_k": pa.array(best.limits[question] // fixed.FETCH_FACTOR, pa.int32()),
-        "chunk_id": pa.array(ids.tolist(), types[1]),
-        "distance": pa.array(distance, pa.float64()),
-    }
+def _output(best: _Best, question_ids: pa.Array, types: tuple[pa.DataType, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    rows = best.result()
+    for start in range(0, 0 if rows is None else len(rows[0]), OUTPUT_ROWS):
+        question, distance, ids = (part[start:start + OUTPUT_ROWS] for part in rows)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "query_id": question_ids.take(pa.array(question)).cast(types[0]),
+                "top_k": pa.array(best.limits[question] // fixed.FETCH_FACTOR, pa.int32()),
+                "chunk_id": pa.array(ids.tolist() if ids.dtype.kind == "U" else ids, types[1]),
+                "distance": pa.array(distance, pa.float64()),
+            }
+        )
 
 
 def _types(questions: DataFrame, chunks: DataFrame) -> tuple[pa.DataType, pa.DataType]:
@@ -166,7 +213,7 @@ def nearest_by_broadcast(questions: DataFrame, chunks: DataFrame, head: pa.Table
     sent = questions.sparkSession.sparkContext.broadcast(
         (
             _unit_rows(head.column("embedding")),
-            head.column("query_id").to_pylist(),
+            head.column("query_id").combine_chunks(),
             np.array(head.column("top_k").to_pylist(), dtype=np.int64) * fixed.FETCH_FACTOR,
         )
     )
@@ -175,10 +222,9 @@ def nearest_by_broadcast(questions: DataFrame, chunks: DataFrame, head: pa.Table
         vectors, question_ids, limits = sent.value
         best = _Best(vectors, limits)
         for batch in batches:
-            if batch.num_rows:
-                best.add(_unit_rows(batch.column("embedding")), _ids(batch.column("chunk_id")))
-        if best.rows is not None:
-            yield pa.RecordBatch.from_pydict(_output(best, question_ids, types))
+            for rows in _slices(batch):
+                best.add(_unit_rows(rows.column("embedding")), _ids(rows.column("chunk_id")))
+        yield from _output(best, question_ids, types)
 
     # Every task may emit a full set of candidates, so their number grows with the
     # tasks, not the rows. A few long tasks per core keep that shuffle small.
@@ -285,7 +331,7 @@ def nearest_by_cells(
     cells: int = 64,
     probes: int | None = None,
     chunk_block_rows: int = 16384,
-    question_block_rows: int = 4096,
+    question_block_rows: int = 16384,
 ) -> DataFrame:
     """Search by cells for any number of questions; exact unless ``probes`` is set."""
     types = _types(questions, chunks)
@@ -299,46 +345,72 @@ def nearest_by_cells(
         F.count("*").alias("n"), F.min("radius").alias("near"), F.max("radius").alias("far")
     ).toArrow().to_pylist()
     near, far = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
-    blocks = np.ones(len(pivots), dtype=int)
     for row in stats:
         near[row["cell"]], far[row["cell"]] = row["near"], row["far"]
-        blocks[row["cell"]] = -(-row["n"] // chunk_block_rows)
-    question_blocks = max(1, -(-questions.count() // question_block_rows))
-
-    def block_count(cell):
-        return F.element_at(F.array(*[F.lit(int(n)) for n in blocks]), cell + 1)
-
-    # Each (cell, chunk block, question block) is one bounded group.
-    chunk_side = assigned.select(
-        "cell",
-        F.pmod(F.xxhash64("chunk_id"), block_count(F.col("cell"))).cast("int").alias("chunk_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(question_blocks - 1))).alias("question_block"),
-        "chunk_id",
-        "embedding",
-    )
-    visits = _visits(questions, pivots, near, far, probes).select(
-        "query_id", "embedding", "top_k", F.explode("cells").alias("cell")
+    # Wide vectors make smaller blocks of questions.
+    block_rows = min(question_block_rows, max(QUESTIONS_PER_PRODUCT, QUESTION_BLOCK_BYTES // (8 * pivots.shape[1])))
+    question_blocks = max(1, -(-questions.count() // block_rows))
+    # A share of the chunks is read as it comes, whatever its size: more shares only give
+    # all cores work where there are few blocks of questions.
+    cores = questions.sparkSession.sparkContext.defaultParallelism
+    held_blocks = -(-sum(row["n"] for row in stats) // chunk_block_rows)
+    shares = max(1, min(held_blocks, -(-TASKS_PER_CORE * cores // question_blocks)))
+    n_tasks = question_blocks * shares
+
+    asked = _visits(questions, pivots, near, far, probes).select(
+        F.pmod(F.xxhash64("query_id"), F.lit(question_blocks)).alias("question_block"),
+        F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"),
+        F.lit(None).cast("int").alias("cell"), "query_id", "top_k", "cells",
+        F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"), "embedding",
     )
-    question_side = visits.select(
-        "cell",
-        F.explode(F.sequence(F.lit(0), block_count(F.col("cell")) - 1)).alias("chunk_block"),
-        F.pmod(F.xxhash64("query_id"), F.lit(question_blocks)).cast("int").alias("question_block"),
-        "query_id",
-        "embedding",
-        "top_k",
+    held = assigned.select(
+        F.explode(F.sequence(F.lit(0), F.lit(question_blocks - 1))).alias("question_block"),
+        F.pmod(F.xxhash64("chunk_id"), F.lit(shares)).alias("share"),
+        "cell", F.lit(None).cast(questions.schema["query_id"].dataType).alias("query_id"),
+        F.lit(None).cast("int").alias("top_k"), F.lit(None).cast("array<int>").alias("cells"), "chunk_id", "embedding",
     )
 
-    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if asked.num_rows == 0 or held.num_rows == 0:
-            empty = {"query_id": types[0], "top_k": pa.int32(), "chunk_id": types[1], "distance": pa.float64()}
-            return pa.schema(list(empty.items())).empty_table()
-        limits = np.array(asked.column("top_k").to_pylist(), dtype=np.int64) * fixed.FETCH_FACTOR
-        best = _Best(_unit_rows(asked.column("embedding")), limits)
-        best.add(_unit_rows(held.column("embedding")), _ids(held.column("chunk_id")))
-        return pa.table(_output(best, asked.column("query_id").to_pylist(), types))
-
-    group = ["cell", "chunk_block", "question_block"]
-    candidates = question_side.groupBy(*group).cogroup(chunk_side.groupBy(*group)).applyInArrow(search, schema)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The task's questions, which are those without a cell and come first, against its chunks."""
+        questions, best, asking = [], None, {}
+        for batch in batches:
+            n_asked = batch.column("cell").null_count
+            if n_asked:
+                questions.append(batch.slice(0, n_asked))
+            batch = batch.slice(n_asked)
+            if not batch.num_rows or not questions:
+                continue
+            if best is None:
+                table = pa.Table.from_batches(questions).combine_chunks()
+                limits = np.array(table.column("top_k").to_pylist(), dtype=np.int64) * fixed.FETCH_FACTOR
+                best = _Best(_unit_rows(table.column("embedding")), limits)
+                visits = table.column("cells").combine_chunks()
+                visitor, visited = pc.list_parent_indices(visits).to_numpy(), visits.flatten().to_numpy()
+                ids = table.column("query_id").combine_chunks()
+                questions = [batch.slice(0, 0)]
+                table = visits = None
+            for rows in _slices(batch):
+                cells = rows.column("cell").to_numpy()
+                begins = np.flatnonzero(np.diff(cells, prepend=-1))
+                vectors, held_ids = _unit_rows(rows.column("embedding")), _ids(rows.column("chunk_id"))
+                for begin, end in zip(begins, np.append(begins[1:], len(cells))):
+                    if cells[begin] not in asking:
+                        # Cells come in order, so one cell's questions are enough to remember.
+                        asking = {cells[begin]: np.sort(visitor[visited == cells[begin]])}
+                    who = asking[cells[begin]]
+                    if len(who):
+                        best.add(vectors[begin:end], held_ids[begin:end], None if len(who) == len(ids) else who)
+        if best is not None:
+            yield from _output(best, ids, types)
+
+    task = (F.col("question_block") * shares + F.col("share")).cast("int")
+    candidates = (
+        asked.unionByName(held)
+        .repartitionById(n_tasks, task)
+        .sortWithinPartitions(F.asc_nulls_first("cell"))
+        .drop("question_block", "share")
+        .mapInArrow(search, schema)
+    )
     return _ranked(candidates)
 
 
