@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from citemill.functions import fixed_values as fixed
 from citemill.functions.text import chunk_hash, chunk_id, clean_page_text, found_header
 from citemill.operators.running import running_values
 
+SPLIT_ROWS = 256
+
 
 def _cut_points(text: str, start: int, end: int, separator: str) -> list[int]:
     """Piece boundaries of text[start:end]; a separator opens the piece after it."""
@@ -84,11 +87,20 @@ def _split_range(
 def split_chunks(
     text: Column, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP
 ) -> Column:
-    """Array of chunks of a text column (Arrow batches, one Python call per batch)."""
+    """Array of chunks of a text column.
+
+    Of an Arrow batch only a few rows at a time become Python objects, so what a
+    worker holds does not grow with the rows Spark puts into a batch.
+    """
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda value: split_text(value, size, overlap) if value else [])
+    @F.arrow_udf("array<string>")
+    def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            # An empty batch is answered too.
+            for start in range(0, max(len(texts), 1), SPLIT_ROWS):
+                rows = texts.slice(start, SPLIT_ROWS).to_pylist()
+                pieces = [split_text(value, size, overlap) if value else [] for value in rows]
+                yield pa.array(pieces, pa.list_(pa.string()))
 
     return split(text)
 
