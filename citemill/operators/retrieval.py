@@ -85,16 +85,20 @@ def cited_rows(retrieved: DataFrame) -> DataFrame:
 def collect_context(cited: DataFrame) -> DataFrame:
     """Per question: ordered citations, their number, and the joined context.
 
-    A question has at most ten rows here, so the collected lists are bounded.
+    A question has at most ten rows here, so the collected lists are bounded. Citations
+    and blocks are collected apart, so whoever needs no context moves no texts.
     """
-    rows = cited.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "citation", "block"))).alias("rows")
-    )
-    return rows.select(
-        "query_id",
-        F.transform("rows", lambda row: row["citation"]).alias("citations"),
-        F.size("rows").alias("context_count"),
-        F.array_join(F.transform("rows", lambda row: row["block"]), "\n").alias("context"),
+    return cited.groupBy("query_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("rank", "citation"))), lambda row: row["citation"]
+        ).alias("citations"),
+        F.count("*").cast("int").alias("context_count"),
+        F.array_join(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("rank", "citation", "block"))), lambda row: row["block"]
+            ),
+            "\n",
+        ).alias("context"),
     )
 
 
