@@ -84,23 +84,27 @@ def _split_range(
     return chunks
 
 
+def split_batches(batches: Iterator[pa.Array], size: int, overlap: int) -> Iterator[pa.Array]:
+    """Chunk arrays of batches of texts, a few rows at a time as Python objects.
+
+    So what a worker holds does not grow with the rows Spark puts into a batch.
+    """
+    for texts in batches:
+        # An empty batch is answered too.
+        for start in range(0, max(len(texts), 1), SPLIT_ROWS):
+            rows = texts.slice(start, SPLIT_ROWS).to_pylist()
+            pieces = [split_text(value, size, overlap) if value else [] for value in rows]
+            yield pa.array(pieces, pa.list_(pa.string()))
+
+
 def split_chunks(
     text: Column, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP
 ) -> Column:
-    """Array of chunks of a text column.
-
-    Of an Arrow batch only a few rows at a time become Python objects, so what a
-    worker holds does not grow with the rows Spark puts into a batch.
-    """
+    """Array of chunks of a text column."""
 
     @F.arrow_udf("array<string>")
     def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            # An empty batch is answered too.
-            for start in range(0, max(len(texts), 1), SPLIT_ROWS):
-                rows = texts.slice(start, SPLIT_ROWS).to_pylist()
-                pieces = [split_text(value, size, overlap) if value else [] for value in rows]
-                yield pa.array(pieces, pa.list_(pa.string()))
+        return split_batches(batches, size, overlap)
 
     return split(text)
 
