@@ -18,6 +18,10 @@ WS_CLASS = r"\s\x1c-\x1f"
 APPROVAL_LINE = r"(?iud)Revision Date Approved by:.*?(?:\n|$)"
 MANUAL_TITLE = rf"(?iuU)Laboratory Safety Manual[{WS_CLASS}]*"
 BLANK_LINE_RUN = r"\n{3,}"
+# A lower-cased page without these, and without three line ends in a row, matches none of the
+# three. They have none of the letters that other characters equal in another case (i, k, s).
+APPROVAL_PART = "on date approved by:"
+MANUAL_PART = "ety manual"
 
 # Section headers: numbered title, SECTION x, APPENDIX x, or a line of capitals.
 SECTION_HEADER = (

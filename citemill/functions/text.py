@@ -14,10 +14,18 @@ def strip(text: Column) -> Column:
 
 
 def clean_page_text(text: Column) -> Column:
-    """Drop page boilerplate, squeeze blank lines, strip."""
+    """Drop page boilerplate, squeeze blank lines, strip.
+
+    Patterns that ignore case are slow, so pages that cannot match any are only stripped.
+    """
     without_approval = F.regexp_replace(text, fixed.APPROVAL_LINE, "")
     without_title = F.regexp_replace(without_approval, fixed.MANUAL_TITLE, "")
-    return strip(F.regexp_replace(without_title, fixed.BLANK_LINE_RUN, "\n\n"))
+    cleaned = F.regexp_replace(without_title, fixed.BLANK_LINE_RUN, "\n\n")
+    lower = F.lower(text)
+    may_match = (
+        lower.contains(fixed.APPROVAL_PART) | lower.contains(fixed.MANUAL_PART) | text.contains("\n\n\n")
+    )
+    return strip(F.when(may_match, cleaned).otherwise(text))
 
 
 def first_lines(text: Column, count: int = fixed.HEADER_LINES) -> Column:
@@ -46,8 +54,8 @@ def section_header(text: Column, fallback: str | Column = fixed.SECTION_FALLBACK
 def embedding_text(text: Column) -> Column:
     """One-line form of a text, never empty, as handed to an embedder."""
     one_line = F.replace(F.replace(text, F.lit("\r\n"), F.lit(" ")), F.lit("\n"), F.lit(" "))
-    stripped = strip(one_line)
-    return F.when(stripped == "", fixed.EMPTY_TEXT).otherwise(stripped)
+    # Unlike two branches of a condition, nullif works the text out once.
+    return F.when(text.isNotNull(), F.coalesce(F.nullif(strip(one_line), F.lit("")), F.lit(fixed.EMPTY_TEXT)))
 
 
 def chunk_hash(text: Column) -> Column:

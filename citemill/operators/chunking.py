@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,10 +16,10 @@ from citemill.operators.running import running_values
 SPLIT_ROWS = 256
 
 
-def _cut_points(text: str, start: int, end: int, separator: str) -> list[int]:
+def _cut_points(text: str, start: int, end: int, separator: str) -> Sequence[int]:
     """Piece boundaries of text[start:end]; a separator opens the piece after it."""
     if not separator:
-        return list(range(start, end + 1))
+        return range(start, end + 1)
     cuts = [start]
     at = text.find(separator, start, end)
     while at >= 0:
@@ -30,7 +30,7 @@ def _cut_points(text: str, start: int, end: int, separator: str) -> list[int]:
     return cuts
 
 
-def _merged(text: str, cuts: list[int], size: int, overlap: int) -> list[str]:
+def _merged(text: str, cuts: Sequence[int], size: int, overlap: int) -> list[str]:
     """Greedy chunks over adjacent pieces, found by bisection on their boundaries."""
     chunks: list[str] = []
     first, final = 0, len(cuts) - 1
@@ -69,6 +69,9 @@ def _split_range(
     while separators[level] and text.find(separators[level], start, end) < 0:
         level += 1
     cuts = _cut_points(text, start, end, separators[level])
+    if not separators[level] and size > 1:
+        # Single characters are never oversized, so they are one run without going through them.
+        return _merged(text, cuts, size, overlap)
     run = [start]
     for low, high in zip(cuts, cuts[1:]):
         if high - low < size:
@@ -142,12 +145,12 @@ def split_pages(pages: DataFrame) -> DataFrame:
 
 
 def number_chunks(
-    pages: DataFrame, initial: str = fixed.SECTION_INITIAL, block_rows: int = 1024
+    pages: DataFrame, initial: str = fixed.SECTION_INITIAL, block_rows: int = 1024, tasks: int | None = None
 ) -> DataFrame:
     """Chunk rows with section, running index over the document, hash and id.
 
     ``pages`` come from :func:`split_pages`. Numbers are worked out per page,
-    so the window sorts pages, not chunks.
+    so the window sorts pages, not chunks. ``tasks`` as for :func:`running_values`.
     """
     running = running_values(
         pages,
@@ -156,6 +159,7 @@ def number_chunks(
         last={"section": "__header"},
         totals={"__first": "__n"},
         block_rows=block_rows,
+        tasks=tasks,
     )
     exploded = running.select(
         "document_name",

@@ -3,8 +3,9 @@
 A plain window puts every row of a key into one task, so a single huge document
 would hold up the job. Here each key is cut into blocks of its order column. A
 slim aggregate carries values from block to block, and the window runs inside
-(key, block). The join that brings the carried values and that window share one
-shuffle, so wide columns move once, as they would in the plain form.
+(key, block). The window and, after it, the join that brings the carried values
+share one shuffle and one sort, so wide columns move once, as they would in the
+plain form.
 """
 
 from __future__ import annotations
@@ -23,12 +24,17 @@ def running_values(
     last: dict[str, str] | None = None,
     totals: dict[str, str] | None = None,
     block_rows: int = BLOCK_ROWS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add running columns to ``rows``.
 
     ``last`` maps an output name to a column: its last non-null value up to and
     including the row. ``totals`` maps an output name to a column: its sum over
     earlier rows (0 for the first). ``order`` is an integer, unique within a key.
+
+    ``tasks`` is for callers with much work per row to come: Spark merges shuffled
+    partitions by their bytes until there are about as many as cores, of which the last
+    few keep all others waiting; so many it leaves alone.
     """
     last, totals = last or {}, totals or {}
     blocked = rows.withColumn(_BLOCK, F.floor(F.col(order) / block_rows))
@@ -50,16 +56,24 @@ def running_values(
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
 
-    def running_last(out: str, column: str) -> Column:
-        return F.coalesce(F.last(column, ignorenulls=True).over(so_far), F.col(f"__last_{out}"))
+    # In this order the window's sort serves the join too.
+    dealt = blocked.repartition(tasks, *keys, _BLOCK) if tasks else blocked
+    within = dealt.select(
+        *blocked.columns,
+        *[F.last(column, ignorenulls=True).over(so_far).alias(f"__within_last_{out}") for out, column in last.items()],
+        *[F.sum(column).over(earlier).alias(f"__within_sum_{out}") for out, column in totals.items()],
+    )
+
+    def running_last(out: str) -> Column:
+        return F.coalesce(f"__within_last_{out}", f"__last_{out}")
 
-    def running_total(out: str, column: str) -> Column:
+    def running_total(out: str) -> Column:
         zero = F.lit(0).cast("bigint")
-        return F.coalesce(F.sum(column).over(earlier), zero) + F.coalesce(F.col(f"__sum_{out}"), zero)
+        return F.coalesce(f"__within_sum_{out}", zero) + F.coalesce(f"__sum_{out}", zero)
 
-    joined = blocked.join(carried, [*keys, _BLOCK], "left")
+    joined = within.join(carried, [*keys, _BLOCK], "left")
     return joined.select(
         *[joined[name] for name in rows.columns],
-        *[running_last(out, column).alias(out) for out, column in last.items()],
-        *[running_total(out, column).alias(out) for out, column in totals.items()],
+        *[running_last(out).alias(out) for out in last],
+        *[running_total(out).alias(out) for out in totals],
     )

@@ -17,6 +17,9 @@ from citemill.session import delete_on_exit, scratch_path
 from citemill.sources.files import changed_files, is_valid_pdf
 from citemill.sources.store import ChunkStore
 
+#: Pages that a task numbers, embeds and writes, about 15,000 chunks with their vectors.
+PAGES_PER_TASK = 4096
+
 
 @dataclass
 class ScanOutcome:
@@ -56,7 +59,8 @@ def ingest_pages(
     split_pages(clean_pages(pages, keep_empty=True)).write.parquet(staged_path)
     staged = store.spark.read.parquet(delete_on_exit(store.spark, staged_path))
     good = staged.filter("error is null")
-    chunks = number_chunks(good.filter("page is not null"))
+    with_text = good.filter("page is not null")
+    chunks = number_chunks(with_text, tasks=with_text.count() // PAGES_PER_TASK + 1)
     version = store.publish(embed(chunks, embedder=embedder), good, version)
     failures = staged.filter("error is not null").select("document_name", "file_path", "error")
     return ingest_receipts(good, store.version_rows(version)), failures, version

@@ -251,11 +251,9 @@ def st2(spark, folder):
     listing = given.files(spark, folder).select(lower, "length", "modified_ms")
     store = ChunkStore(spark, scratch_path(spark, "store"))
     store.write_manifest(given.manifest(spark, folder).select(lower, "modified_ms"))
-    pages = given.solid_pages(spark, folder)
 
     def read_pages(chosen):
-        names = chosen.select(fs.base_name(F.col("absolute_path")).alias("document_name"))
-        return pages.join(names, "document_name", "left_semi").select(*pages.columns)
+        return given.solid_pages(spark, folder, chosen.select(fs.base_name(F.col("absolute_path")).alias("document_name")))
 
     scans = {
         "deferred": {"healthy": lambda: False},
@@ -297,11 +295,9 @@ def st1(spark, folder):
         + F.when(F.col("toxic") == 1, 60000).when(F.col("quality") == 0, -60000).otherwise(0),
     )
     store = ChunkStore(spark, scratch_path(spark, "store"))
-    pages = given.solid_pages(spark, folder)
 
     def read_pages(chosen):
-        names = chosen.select(fs.base_name(F.col("absolute_path")).alias("document_name"))
-        return pages.join(names, "document_name", "left_semi").select(*pages.columns)
+        return given.solid_pages(spark, folder, chosen.select(fs.base_name(F.col("absolute_path")).alias("document_name")))
 
     progress = scratch_path(spark, "progress")
     for tick in (first, listing):

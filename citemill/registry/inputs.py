@@ -144,7 +144,16 @@ FOUND_HEADERS = r"""found_headers AS (
 
 # Solid pages: blocks of every text without its whitespace. They have no separator,
 # so their chunks are known in closed form.
-def solid_pages(spark: SparkSession, folder: str) -> DataFrame:
+def solid_pages(spark: SparkSession, folder: str, names: DataFrame | None = None) -> DataFrame:
+    """Pages of all documents, or of those with a ``document_name`` in ``names``.
+
+    The documents are chosen before their pages are made: Spark moves no join below an
+    explode, and so the work is that of the documents asked for.
+    """
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("document_name")
+    documents = spread_documents(spark, folder).select(name, "source", "text")
+    if names is not None:
+        documents = documents.join(names, "document_name", "left_semi")
     solid = F.regexp_replace("text", r"\s", "")
     count = F.greatest(F.ceil(F.length("solid") / SOLID_PAGE_CHARS).cast("int"), F.lit(1))
     texts = F.transform(
@@ -152,10 +161,9 @@ def solid_pages(spark: SparkSession, folder: str) -> DataFrame:
         lambda block: F.substring(F.col("solid"), block * SOLID_PAGE_CHARS + 1, F.lit(SOLID_PAGE_CHARS)),
     )
     return (
-        spread_documents(spark, folder)
-        .select("doc_id", "source", solid.alias("solid"))
+        documents.select("document_name", "source", solid.alias("solid"))
         .select(
-            F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("document_name"),
+            "document_name",
             F.concat(F.lit("/data/"), "source").alias("file_path"),
             count.alias("total_pages"),
             F.posexplode(texts).alias("block", "raw_text"),

@@ -35,6 +35,8 @@ BLOOM = {
     "parquet.bloom.filter.expected.ndv#document_name": "20000",
     "parquet.bloom.filter.max.bytes": "65536",
 }
+# Nothing filters by a vector's elements, of which a chunk has hundreds.
+NO_BOUNDS = {"parquet.column.statistics.enabled#embedding.list.element": "false"}
 
 
 class ChunkStore:
@@ -55,7 +57,7 @@ class ChunkStore:
     def _write(self, chunks: DataFrame, version: int) -> None:
         """One version's chunks, each file sorted by document, so that a lookup opens few row groups."""
         order = [c for c in ("document_name", "chunk_index") if c in chunks.columns]
-        chunks.sortWithinPartitions(*order).write.mode("overwrite").options(**BLOOM).parquet(self._folder(version))
+        chunks.sortWithinPartitions(*order).write.mode("overwrite").options(**BLOOM, **NO_BOUNDS).parquet(self._folder(version))
 
     def _folder(self, version: int) -> str:
         return f"{self.root}/chunks/version={version}"
